@@ -93,3 +93,32 @@ NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
 
 ALNUM = np.zeros(256, bool)
 ALNUM[list(range(0x30, 0x3A)) + list(range(0x61, 0x7B)) + list(range(0x80, 0x100))] = True
+
+
+class Pack:
+    """Several texts as one buffer, a line feed after each, so that no word spans two."""
+
+    def __init__(self, texts: list[bytes], is_word: np.ndarray):
+        self.raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        self.starts, self.ends = word_spans(self.raw, is_word)
+        #: word index where each text begins, and one past the last
+        self.first = np.concatenate([[0], np.searchsorted(self.starts, ends, "left")])
+        self.limit = np.repeat(self.first[1:], np.diff(self.first))
+
+    def fitting(self, n: int) -> np.ndarray:
+        """Word indices where a window of n words fits in its text."""
+        return np.flatnonzero(np.arange(len(self.starts)) + n <= self.limit)
+
+
+def packs(rows, size: int = 1 << 20):
+    """Lists of (key, bytes) from an iterable of them, cut when their texts reach ``size`` bytes."""
+    out, total = [], 0
+    for key, text in rows:
+        out.append((key, text))
+        total += len(text)
+        if total >= size:
+            yield out
+            out, total = [], 0
+    if out:
+        yield out

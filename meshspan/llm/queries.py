@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common_io import table
 from .decontaminate import decontaminate
+from .mixing import mix
 from .simhash import simhash_groups
 from .substring_dedup import substring_dedup
 
@@ -25,7 +26,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_decontamination, op10_simhash)}
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_decontamination, op8_mixing, op10_simhash)}
 
 #: DuckDB SQL by query; queries that SQL cannot express are tested by brute force instead
 ORACLE_SQL: dict[str, str] = {}

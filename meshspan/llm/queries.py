@@ -69,3 +69,12 @@ QUERIES = {
 
 #: DuckDB SQL by query; queries that SQL cannot express are tested by brute force instead
 ORACLE_SQL: dict[str, str] = {"op7_license_scan": licences.oracle()}
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline

@@ -1,4 +1,4 @@
 """All registered queries of the planning engine."""
 
-from . import access, geodesy, land, links  # noqa: F401
+from . import access, geodesy, land, links, records, terrain_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

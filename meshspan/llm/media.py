@@ -4,6 +4,10 @@ A text's UTF-8 bytes, padded with 255, become the grey samples of a PNG image of
 fixed width.  Images are named by their payload's SHA-256 and stored once, in tar
 shards of bounded size; rows carry digest, shard, offset and length.  Image
 metadata is read from the first bytes of a stored image, never from the payload.
+
+Only images of texts that have copies are shuffled, to be written once: a filter
+of fixed size, built from the digests that occur twice, tells which may have any.
+A text that passes it by chance is shuffled for nothing, and stored right.
 """
 
 from __future__ import annotations
@@ -67,19 +71,42 @@ def decode_png(image: bytes) -> bytes:
     return lines[:, 1:].tobytes()
 
 
-def _images(batches):
-    """Images of the texts that this task has not met before."""
-    seen = set()
-    for b in batches:
-        keys, images = [], []
-        for key, text in zip(b.column(0), b.column(1)):
-            k = key.as_buffer().to_pybytes()
-            if k not in seen:
-                seen.add(k)
-                keys.append(k)
-                images.append(encode_png(padded(text.as_buffer().to_pybytes())))
-        for lo in range(0, len(keys), 256):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + 256], pa.binary()), pa.array(images[lo : lo + 256], pa.binary())], names=["key", "image"])
+FILTER_BITS = 1 << 23
+
+
+def _filter(keys: DataFrame) -> bytes:
+    """FILTER_BITS bits, on for the low bits of every key's hash (column h), whatever the table's size."""
+    at = keys.select(F.col("h").bitwiseAND(FILTER_BITS - 1).alias("at"))
+    parts = at.groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg((F.col("at") % 32768).cast("long")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts.collect():  # at most FILTER_BITS / 32768 rows
+        out[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out.tobytes()
+
+
+def _images(filter_bits: bytes, shared: bool):
+    """Images of texts that may have copies (``shared``), each once a task, or of those that surely have none."""
+
+    def run(batches):
+        bits = np.unpackbits(np.frombuffer(filter_bits, np.uint8), bitorder="little").view(bool)
+        seen = set()
+        for b in batches:
+            maybe = bits[b.column("h").to_numpy() & (FILTER_BITS - 1)]
+            for lo in range(0, b.num_rows, 256):
+                keys, images = [], []
+                for i in range(lo, min(lo + 256, b.num_rows)):
+                    if maybe[i] != shared:
+                        continue
+                    k = b.column("key")[i].as_buffer().to_pybytes()
+                    if k not in seen:
+                        if shared:
+                            seen.add(k)
+                        keys.append(k)
+                        images.append(encode_png(padded(b.column("raw")[i].as_buffer().to_pybytes())))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(images, pa.binary())], names=["key", "image"])
+
+    return run
 
 
 def _filesystem(uri: str):
@@ -185,11 +212,22 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     folder = folder or fresh_path(spark, "shards")
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("id"), raw.alias("raw")).withColumn("key", F.unhex(F.sha2("raw", 256)))
-    images = rows.select("key", "raw").mapInArrow(_images, "key binary, image binary")
-    placed = images.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key")
-    manifest = stored(placed.mapInArrow(_shards(folder, shard_bytes), "key binary, digest string, shard string, offset long, length long"), "manifest")
+    keys = stored(rows.select("id", "key"), "keys")
+    copied = keys.groupBy("key").count().filter("count > 1").select(F.xxhash64("key").alias("h"))
+    bits = spark.sparkContext.broadcast(_filter(copied))  # FILTER_BITS / 8 bytes
+    hashed = rows.select("key", "raw", F.xxhash64("key").alias("h"))
+
+    def placed(shared: bool) -> DataFrame:
+        def run(batches):
+            return _images(bits.value, shared)(batches)
+
+        images = hashed.mapInArrow(run, "key binary, image binary")
+        if shared:  # copies meet before they are written; all other images stay where they are made
+            images = images.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key")
+        return images.mapInArrow(_shards(folder, shard_bytes), "key binary, digest string, shard string, offset long, length long")
+
+    manifest = stored(placed(True).union(placed(False)), "manifest")
     ddl = "key binary, digest string, shard string, offset long, length long, width int, height int, bit_depth int, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string"
     facts = stored(manifest.mapInArrow(_facts, ddl), "facts")
-    keys = stored(rows.select("id", "key"), "keys")
     out = keys.join(facts, "key").drop("key")
     return out.withColumnRenamed("id", distinct_names([id_col], [c for c in out.columns if c != "id"])[0])

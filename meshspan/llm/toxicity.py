@@ -1,6 +1,7 @@
 """Counterfactual-regularised toxicity classifier.
 
-A logistic model over words.  Beside the usual loss and a ridge, training pays
+A logistic model over words and word beginnings; near copies among the labelled
+rows share one vote.  Beside the usual loss and a ridge, training pays
 for every labelled sentence with an identity term the squared change of its score
 when the term is swapped for another of its group.  So a term that happens to
 occur in toxic sentences cannot carry the verdict: neutral mentions of groups
@@ -13,7 +14,8 @@ of their ids), the only rows sent to the driver; scoring reads all texts.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -38,98 +40,138 @@ IDENTITY = (
     ("african", "european", "american", "mexican", "chinese", "arab"),
 )
 
+TERMS = {t for group in IDENTITY for t in group}
 
-def words(text: str | None) -> set[str]:
-    return set(WORD.findall(text.lower())) if text else set()
+
+def features(text: str | None) -> set[str]:
+    """Words of letters, lower-cased, and their first four to seven letters (marked ~), which hold across endings.
+
+    A beginning that two different words or more share has a second mark.
+    Identity terms have no beginnings: swapping a term changes itself only.
+    """
+    ws = set(WORD.findall(text.lower())) if text else set()
+    starts = Counter(w[:k] + "~" for w in ws - TERMS for k in (4, 5, 6, 7) if len(w) >= k)
+    return ws | starts.keys() | {s + "~" for s, n in starts.items() if n > 1}
 
 
 class Model:
-    """A bias and a weight for each word that has one."""
+    """A bias and a weight for each feature that has one."""
 
     def __init__(self, bias: float, weights: dict[str, float]):
         self.bias, self.weights = bias, weights
 
-    def logit(self, found: Iterable[str]) -> float:
+    def logit(self, found: set[str]) -> float:
         w = self.weights
         return self.bias + sum(sorted(w[x] for x in found if x in w))
 
     def score(self, text: str | None) -> float:
-        return 1 / (1 + float(np.exp(-np.clip(self.logit(words(text)), -40, 40))))
-
-
-def choose_words(rows: list[tuple[set[str], int]], least_z: float, most: int, keep: set[str]) -> list[str]:
-    """Words whose share of toxic rows departs from their share of clean rows, strongest first, and those of ``keep`` that occur."""
-    n1 = sum(y for _, y in rows)
-    n0 = len(rows) - n1
+        return 1 / (1 + float(np.exp(-np.clip(self.logit(features(text)), -40, 40))))
+
+
+class Bags:
+    """Rows of feature numbers, labels, and weights that count a group of near copies as one row."""
+
+    def __init__(self, rows):
+        self.vocab: dict[str, int] = {}
+        number = self.vocab.setdefault
+        self.rows, labels = [], []
+        for bag, y in rows:
+            self.rows.append(np.fromiter((number(w, len(self.vocab)) for w in bag), np.int64))
+            labels.append(int(y))
+        self.y = np.array(labels, np.float64)
+        self.names = list(self.vocab)
+        self.owner = np.repeat(np.arange(len(self.rows)), [len(r) for r in self.rows])
+        self.flat = np.concatenate(self.rows) if self.rows else np.empty(0, np.int64)
+        self.weight = self._weights()
+
+    def _weights(self, tries: int = 4) -> np.ndarray:
+        """1 over the size of the largest group that shares a row's smallest hash, taken over its rare features."""
+        n = len(self.rows)
+        often = np.bincount(self.flat, minlength=len(self.names)) > max(3, n // 100)
+        size = np.ones(n)
+        for k in range(tries):
+            hashes = np.array([zlib.crc32(w.encode(), k + 1) for w in self.names], np.int64)
+            hashes[often] = 1 << 40
+            least = np.full(n, 1 << 41)
+            np.minimum.at(least, self.owner, hashes[self.flat])
+            _, inverse, count = np.unique(least, return_inverse=True, return_counts=True)
+            size = np.maximum(size, np.where(least < 1 << 40, count[inverse], 1))
+        return 1 / size
+
+
+def choose_features(b: Bags, least_z: float, most: int, keep: set[str]) -> list[int]:
+    """Features whose share of toxic rows departs from their share of clean rows, strongest first, and those of ``keep`` that occur."""
+    n1, n0 = float(b.weight[b.y > 0].sum()), float(b.weight[b.y == 0].sum())
     if not n1 or not n0:
         return []
-    counts: dict[str, list[int]] = {}
-    for ws, y in rows:
-        for w in ws:
-            counts.setdefault(w, [0, 0])[y] += 1
-    vocab = list(counts)
-    c = np.array([counts[w] for w in vocab], float).reshape(-1, 2)
-    pooled = (c.sum(1) + 0.5) / (n0 + n1 + 1)
-    z = (c[:, 1] / n1 - c[:, 0] / n0) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
-    order = sorted(np.flatnonzero((np.abs(z) >= least_z) & (c.sum(1) >= 3)).tolist(), key=lambda i: (-abs(z[i]), vocab[i]))[:most]
-    out = [vocab[i] for i in order]
-    return out + sorted(w for w in keep if w in counts and w not in set(out))
-
-
-def fit(rows: list[tuple[set[str], int]], swap_weight: float = 10.0, ridge: float = 0.05, least_z: float = 5.0, most_words: int = 1024, groups=IDENTITY, steps: int = 400) -> Model:
-    """The model of (words, label 0 or 1) rows; without both labels, a constant: the smoothed share of label 1."""
-    rows = [(w, int(y)) for w, y in rows]
-    n1 = sum(y for _, y in rows)
-    prior = float(np.log((n1 + 0.5) / (len(rows) - n1 + 0.5))) if rows else -4.0
+    w, y = b.weight[b.owner], b.y[b.owner]
+    c1, c0 = np.bincount(b.flat, w * y, len(b.names)), np.bincount(b.flat, w * (1 - y), len(b.names))
+    pooled = (c0 + c1 + 0.5) / (n0 + n1 + 1)
+    z = (c1 / n1 - c0 / n0) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
+    order = sorted(np.flatnonzero((np.abs(z) >= least_z) & (c0 + c1 >= 3)).tolist(), key=lambda i: (-abs(z[i]), b.names[i]))[:most]
+    return order + sorted(b.vocab[t] for t in keep if t in b.vocab and b.vocab[t] not in set(order))
+
+
+def fit(rows, swap_weight: float = 10.0, ridge: float = 0.05, least_z: float = 5.0, most_words: int = 1024, groups=IDENTITY, steps: int = 600) -> Model:
+    """The model of (features, label 0 or 1) rows; without both labels, a constant: the smoothed share of label 1."""
+    b = Bags(rows)
+    n = len(b.rows)
+    n1 = float(b.y.sum())
+    prior = float(np.log((n1 + 0.5) / (n - n1 + 0.5))) if n else -4.0
     peers = {t: [u for u in g if u != t] for g in groups for t in g}
-    vocab = choose_words(rows, least_z, most_words, set(peers))
+    chosen = choose_features(b, least_z, most_words, set(peers))
+    if not chosen:
+        return Model(prior, {})
+    vocab = [b.names[i] for i in chosen]
     # A swap may bring in a term that no labelled row holds.
     vocab += sorted({u for w in vocab if w in peers for u in peers[w]} - set(vocab))
-    if not vocab:
-        return Model(prior, {})
     at = {w: i for i, w in enumerate(vocab)}
-    x = np.zeros((len(rows), len(vocab)), np.float32)
-    swaps: dict[tuple[int, int], int] = {}
-    for r, (ws, _) in enumerate(rows):
-        for w in ws & at.keys():
-            x[r, at[w]] = 1
-            for u in peers.get(w, ()):
-                if u not in ws:  # swapping changes the logit by the difference of the two weights
-                    swaps[at[w], at[u]] = swaps.get((at[w], at[u]), 0) + 1
-    y = np.array([y for _, y in rows], np.float32)
+    place = np.full(len(b.names), -1)
+    place[chosen] = np.arange(len(chosen))
+    col = place[b.flat]
+    x = np.zeros((n, len(vocab)), np.float32)
+    x[b.owner[col >= 0], col[col >= 0]] = 1
+    share = b.weight / b.weight.sum()
+    swaps: dict[tuple[int, int], float] = {}
+    for t in (t for t in peers if t in at):
+        for r in np.flatnonzero(x[:, at[t]]):
+            for u in peers[t]:
+                if not x[r, at[u]]:  # swapping changes the logit by the difference of the two weights
+                    swaps[at[t], at[u]] = swaps.get((at[t], at[u]), 0.0) + share[r]
+    y = b.y.astype(np.float32)
     pairs = np.array(list(swaps), int).reshape(-1, 2)
-    often = np.array(list(swaps.values()), np.float64) / len(rows) * swap_weight
-    n, w, b = len(rows), np.zeros(len(vocab)), prior
+    often = np.array(list(swaps.values())) * swap_weight
+    w, c = np.zeros(len(vocab)), prior
     # Adam: the ridge and the swaps scale the same way as the mean loss
     m, v = np.zeros(len(vocab) + 1), np.zeros(len(vocab) + 1)
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32) + np.float32(b), -30, 30)))
-        d = p - y
-        g = x.T @ d / n + ridge * w / n
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32) + np.float32(c), -30, 30)))
+        d = (p - y) * share
+        g = x.T @ d + ridge * w / n
         if len(pairs):
             gap = 2 * often * (w[pairs[:, 0]] - w[pairs[:, 1]])
             g = g + np.bincount(pairs[:, 0], gap, len(w)) - np.bincount(pairs[:, 1], gap, len(w))
-        full = np.append(g, d.mean())
+        full = np.append(g, d.sum())
         m, v = 0.9 * m + 0.1 * full, 0.99 * v + 0.01 * full**2
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, b = w - step[:-1], b - float(step[-1])
-    return Model(float(b), {k: float(z) for k, z in zip(vocab, w)})
+        w, c = w - step[:-1], c - float(step[-1])
+    return Model(float(c), {k: float(z) for k, z in zip(vocab, w)})
 
 
 def _bags(batches):
     for b in batches:
-        bags = ["\n".join(sorted(words(t))) for t in b.column("text").to_pylist()]
+        bags = ["\n".join(sorted(features(t))) for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(bags), b.column("toxic").cast(pa.int32())], names=["bag", "toxic"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 8_000, **options) -> Model:
     """Fit on at most ``max_rows`` labelled rows; rows with a null id or label are left out, and ids with both labels count as 1."""
     lab = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)")
     lab = lab.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(lab), "id").select("text", "toxic")  # max_rows bounds the broadcast
     got = known.mapInArrow(_bags, "bag string, toxic int").toArrow()
     rows = sorted(zip(got.column("bag").to_pylist(), got.column("toxic").to_pylist()))
-    return fit([(set(b.split("\n")) - {""}, y) for b, y in rows], **options)
+    return fit(((b.split("\n") if b else (), y) for b, y in rows), **options)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:

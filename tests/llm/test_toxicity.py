@@ -1,6 +1,6 @@
 import random
 
-from meshspan.llm.toxicity import fit, toxicity, words
+from meshspan.llm.toxicity import features, fit, toxicity
 
 
 def data(rnd, n):
@@ -20,7 +20,7 @@ def data(rnd, n):
 
 def test_swaps_free_neutral_mentions():
     rnd = random.Random(1)
-    rows = [(words(t), y) for _, t, y in data(rnd, 1500)]
+    rows = [(features(t), y) for _, t, y in data(rnd, 1500)]
     free, held = fit(rows, swap_weight=0.0), fit(rows)
     term = lambda m: m.weights["muslims"] - m.weights.get("christians", 0)
     assert term(free) > 1 and abs(term(held)) < 0.2 * term(free)

@@ -1,4 +1,4 @@
 """All registered queries of the planning engine."""
 
-from . import access, flows, geodesy, land, links, planning, records, terrain_queries  # noqa: F401
+from . import access, flows, geodesy, land, links, planning, records, terrain_queries, views  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

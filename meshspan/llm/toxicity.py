@@ -49,7 +49,15 @@ def features(text: str | None) -> set[str]:
     A beginning that two different words or more share has a second mark.
     Identity terms have no beginnings: swapping a term changes itself only.
     """
-    ws = set(WORD.findall(text.lower())) if text else set()
+    return expand(words(text))
+
+
+def words(text: str | None) -> set[str]:
+    return set(WORD.findall(text.lower())) if text else set()
+
+
+def expand(ws: set[str]) -> set[str]:
+    """The features of a text with these words."""
     starts = Counter(w[:k] + "~" for w in ws - TERMS for k in (4, 5, 6, 7) if len(w) >= k)
     return ws | starts.keys() | {s + "~" for s, n in starts.items() if n > 1}
 
@@ -76,17 +84,18 @@ class Bags:
         number = self.vocab.setdefault
         self.rows, labels = [], []
         for bag, y in rows:
-            self.rows.append(np.fromiter((number(w, len(self.vocab)) for w in bag), np.int64))
+            self.rows.append(np.fromiter((number(w, len(self.vocab)) for w in sorted(bag)), np.int32))
             labels.append(int(y))
         self.y = np.array(labels, np.float64)
         self.names = list(self.vocab)
-        self.owner = np.repeat(np.arange(len(self.rows)), [len(r) for r in self.rows])
-        self.flat = np.concatenate(self.rows) if self.rows else np.empty(0, np.int64)
+        self.owner = np.repeat(np.arange(len(self.rows), dtype=np.int32), [len(r) for r in self.rows])
+        self.flat = np.concatenate(self.rows) if self.rows else np.empty(0, np.int32)
+        self.n, self.rows = len(self.rows), []
         self.weight = self._weights()
 
     def _weights(self, tries: int = 4) -> np.ndarray:
         """1 over the size of the largest group that shares a row's smallest hash, taken over its rare features."""
-        n = len(self.rows)
+        n = self.n
         often = np.bincount(self.flat, minlength=len(self.names)) > max(3, n // 100)
         size = np.ones(n)
         for k in range(tries):
@@ -104,8 +113,7 @@ def choose_features(b: Bags, least_z: float, most: int, keep: set[str]) -> list[
     n1, n0 = float(b.weight[b.y > 0].sum()), float(b.weight[b.y == 0].sum())
     if not n1 or not n0:
         return []
-    w, y = b.weight[b.owner], b.y[b.owner]
-    c1, c0 = np.bincount(b.flat, w * y, len(b.names)), np.bincount(b.flat, w * (1 - y), len(b.names))
+    c1, c0 = (np.bincount(b.flat, (b.weight * (b.y == k))[b.owner], len(b.names)) for k in (1, 0))
     pooled = (c0 + c1 + 0.5) / (n0 + n1 + 1)
     z = (c1 / n1 - c0 / n0) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
     order = sorted(np.flatnonzero((np.abs(z) >= least_z) & (c0 + c1 >= 3)).tolist(), key=lambda i: (-abs(z[i]), b.names[i]))[:most]
@@ -115,7 +123,7 @@ def choose_features(b: Bags, least_z: float, most: int, keep: set[str]) -> list[
 def fit(rows, swap_weight: float = 10.0, ridge: float = 0.05, least_z: float = 5.0, most_words: int = 1024, groups=IDENTITY, steps: int = 600) -> Model:
     """The model of (features, label 0 or 1) rows; without both labels, a constant: the smoothed share of label 1."""
     b = Bags(rows)
-    n = len(b.rows)
+    n = b.n
     n1 = float(b.y.sum())
     prior = float(np.log((n1 + 0.5) / (n - n1 + 0.5))) if n else -4.0
     peers = {t: [u for u in g if u != t] for g in groups for t in g}
@@ -160,18 +168,18 @@ def fit(rows, swap_weight: float = 10.0, ridge: float = 0.05, least_z: float = 5
 
 def _bags(batches):
     for b in batches:
-        bags = ["\n".join(sorted(features(t))) for t in b.column("text").to_pylist()]
+        bags = ["\n".join(sorted(words(t))) for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(bags), b.column("toxic").cast(pa.int32())], names=["bag", "toxic"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 8_000, **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 4_000, **options) -> Model:
     """Fit on at most ``max_rows`` labelled rows; rows with a null id or label are left out, and ids with both labels count as 1."""
     lab = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)")
     lab = lab.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(lab), "id").select("text", "toxic")  # max_rows bounds the broadcast
     got = known.mapInArrow(_bags, "bag string, toxic int").toArrow()
     rows = sorted(zip(got.column("bag").to_pylist(), got.column("toxic").to_pylist()))
-    return fit(((b.split("\n") if b else (), y) for b, y in rows), **options)
+    return fit(((expand(set(b.split("\n"))) if b else (), y) for b, y in rows), **options)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:

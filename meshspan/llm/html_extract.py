@@ -4,9 +4,11 @@ Markup is stripped into *lines*, one for each block-level element's text.  A
 line counts its characters outside links and outside containers that never hold
 an article (menus, footers, forms, comment lists ...).  Sums over sliding windows
 of lines rise steeply where an article starts and fall to nothing where it ends:
-from each surge point to the next dive point runs a candidate, and the text kept
-is that of the candidate with most characters and of all others that the same
-container or a comparable weight joins to it.
+from each surge point to the next dive point runs a candidate, on marked pages
+too; a mark (article, main) only refines its bounds, and rules out text beside it
+if the candidate with most characters is marked.  The text kept is that of this
+candidate and of all others that the same container or a comparable weight joins
+to it.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title",
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 AWAY = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "head"}
 HOME = {"article", "main"}
+#: blocks that hold others; the rest belong to the container around them
+BOX = {"article", "body", "details", "div", "main", "section", "td"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLASSES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|footer|header|masthead|side-?bar|related|share|sharing|social|comments?|commentlist|disqus|respond|reply|replies|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|login|signup|widget|toolbar|pagination|pager|tags|copyright|legal|disclaimer|skip)(?:$|[\s_-])",
@@ -44,12 +48,12 @@ IN_PARAGRAPH = "p"
 
 
 class Line:
-    """A block's text, its characters inside links, whether a container rules it out, and its article's number."""
+    """A block's text, its characters inside links, whether a container rules it out, and its article's and container's numbers."""
 
-    __slots__ = ("text", "linked", "away", "home", "heading")
+    __slots__ = ("text", "linked", "away", "home", "heading", "box")
 
-    def __init__(self, text, linked, away, home, heading):
-        self.text, self.linked, self.away, self.home, self.heading = text, linked, away, home, heading
+    def __init__(self, text, linked, away, home, heading, box):
+        self.text, self.linked, self.away, self.home, self.heading, self.box = text, linked, away, home, heading, box
 
     @property
     def weight(self) -> int:
@@ -77,15 +81,15 @@ def lines(page: str) -> list[Line]:
     out: list[Line] = []
     buffer: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, ruled out here or above, an article here, a link here
-    homes, home_of, depth_link = 0, [0], 0
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, ruled out here or above, an article here, a link here, the container's number
+    homes, home_of, depth_link, boxes, box = 0, [0], 0, 0, 0
     away = heading = False
 
     def flush():
         nonlocal linked
         text = SPACE.sub(" ", _html.unescape("".join(buffer))).strip()
         if text:
-            out.append(Line(text, linked, away, home_of[-1], heading))
+            out.append(Line(text, linked, away, home_of[-1], heading, box))
         buffer.clear()
         linked = 0
 
@@ -125,7 +129,7 @@ def lines(page: str) -> list[Line]:
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    for _, _, home, link in stack[k:]:
+                    for _, _, home, link, _ in stack[k:]:
                         if home:
                             home_of.pop()
                         depth_link -= link
@@ -147,9 +151,14 @@ def lines(page: str) -> list[Line]:
                 homes += 1
                 home_of.append(homes)
             gone = bool(stack and stack[-1][1]) or _ruled_out(tag, attrs, len(home_of) > 1)
-            stack.append((tag, gone, home, tag == "a"))
+            own = stack[-1][4] if stack else 0
+            if home or tag in BOX and len(home_of) == 1:  # an article is one container, whatever it holds
+                boxes += 1
+                own = boxes
+            stack.append((tag, gone, home, tag == "a", own))
             depth_link += tag == "a"
         away = bool(stack and stack[-1][1])
+        box = stack[-1][4] if stack else 0
         heading = any(len(x[0]) == 2 and x[0][0] == "h" and x[0][1].isdigit() for x in stack)
     flush()
     return out
@@ -178,27 +187,42 @@ def extract(page: str | None, window: int = 3, surge: int = 80) -> str:
         return ""
     ls = lines(page)
     weights = [x.weight for x in ls]
-    marked = {x.home for x in ls if x.home and x.weight}
-    if marked:
-        # Articles as marked: all of those whose text is not a small fraction of the largest's.
-        total = {h: sum(x.weight for x in ls if x.home == h) for h in marked}
-        top = max(total.values())
-        keep = {h for h in marked if total[h] * 4 >= top}
-        weights = [w if x.home in keep else 0 for x, w in zip(ls, weights)]
-        # Inside the mark only lines ruled out on their own fall away.
-        return "\n".join(x.text for x, w in zip(ls, weights) if x.home in keep and not x.away)
-    found = spans(weights, window, surge)
-    if not found:
-        found = spans(weights, window, 0)
+    every = _pieces(ls, spans(weights, window, 0))
+    found = _pieces(ls, spans(weights, window, surge)) or every
     if not found:
         return ""
-    mass = [sum(weights[a:b]) for a, b in found]
-    top = max(mass)
-    kept = []
-    for (a, b), m in zip(found, mass):
-        if m * 4 >= top:
-            kept += [x for x in ls[a:b] if x.weight]
-    return "\n".join(x.text for x in kept)
+    mass = {(a, b): sum(weights[a:b]) for a, b in found}
+    best = max(found, key=lambda p: (mass[p], -p[0]))
+    # Where the heaviest piece is marked as an article, marks rule out the text beside them.
+    rivals = [p for p in found if ls[p[0]].home or not ls[best[0]].home]
+    kept = [p for p in rivals if mass[p] * 4 >= mass[best]]
+    # Pieces of the same container belong together, however little text they have.
+    boxes = {x.box for a, b in kept for x in ls[a:b] if x.weight}
+    own = [p for p in every if any(x.box in boxes for x in ls[p[0] : p[1]] if x.weight)]
+    take: set[int] = set()
+    for a, b in kept + own:
+        if (a, b) in mass:
+            take.update(range(a, b))
+        else:
+            take.update(i for i in range(a, b) if ls[i].box in boxes)
+    for a, _ in kept + own:  # a linked heading before a piece is its title
+        while a and ls[a - 1].heading and not ls[a - 1].away and ls[a - 1].box in boxes:
+            a -= 1
+            take.add(a)
+    return "\n".join(ls[i].text for i in sorted(take) if not ls[i].away)
+
+
+def _pieces(ls: list[Line], found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans cut where marked articles begin and end, without the weightless lines at their ends."""
+    out = []
+    for a, b in found:
+        for i in range(a, b):
+            if ls[i].weight:
+                if out and out[-1][0] >= a and ls[out[-1][0]].home == ls[i].home and all(x.away or x.home == ls[i].home for x in ls[out[-1][1] : i]):
+                    out[-1] = (out[-1][0], i + 1)
+                else:
+                    out.append((i, i + 1))
+    return out
 
 
 def html_extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str | None = "url", window: int = 3, surge: int = 80) -> DataFrame:

@@ -27,3 +27,17 @@ def test_frame(spark):
     got = {(r.page_id, r.n_chars, r.text[:10]) for r in html_extract(df).collect()}
     assert (1, len(P), P[:10]) in got and (None, 0, "") in got and (2, 499_999, "long text ") in got and (2, 0, "") in got
     assert html_extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page, want", [
+    # the surge decides, not the tag: a marked teaser is not the text of the page
+    (f"<body><article><p>Short teaser of a story.</p></article><div><p>{P}</p><p>{P}</p></div></body>", f"{P}\n{P}"),
+    # the dive ends an article before its list of links
+    (f"<article><p>{P}</p><p>{P}</p><ul><li><a href=/1>One more story</a></li><li><a href=/2>Another story</a></li></ul></article>", f"{P}\n{P}"),
+    # spans of one container stay together, whatever their share
+    (f"<body><div><p>{P}</p>{'<p><a href=/x>linked</a></p>' * 4}<p>A short last word.</p></div><div><p>Other.</p></div></body>", f"{P}\nA short last word."),
+    # a mark cuts the span that runs past it
+    (f"<article><h1><a href=/t>Title</a></h1><p>{P}</p></article><div><p>{P}</p></div>", f"Title\n{P}"),
+])
+def test_surge_and_dive_decide(page, want):
+    assert extract(page) == want

@@ -13,6 +13,7 @@ from meshspan.llm import toxicity
 from meshspan.llm.common_io import table
 from meshspan.llm.decontaminate import decontaminate
 from meshspan.llm.mixing import mix
+from meshspan.llm.near_copies import near_copy_roots
 from meshspan.llm.pii import redact
 from meshspan.llm.scratch import stored
 from meshspan.llm.simhash import simhash_groups
@@ -33,8 +34,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that of the smallest id."""
-    keep = simhash_groups(docs).filter("keep")
+    """One document of each group stays: that of the smallest id.
+
+    Groups are those of the fingerprints first, then those of what is left whose
+    five-word shingles are alike by 0.8 or more.
+    """
+    keep = stored(simhash_groups(docs).filter("keep").select("doc_id", "text_hash").distinct(), "kept")
+    alike = near_copy_roots(docs, keep).withColumnRenamed("id", "text_hash").join(keep, "text_hash")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    first = alike.groupBy("root").agg(F.min(order).alias("top"))
+    gone = alike.join(first, "root").filter(F.col("text_hash") != F.col("top.text_hash")).select("text_hash")
+    keep = keep.join(gone, "text_hash", "left_anti")
     return _matching(docs, keep, "left_semi").dropDuplicates(["doc_id", "__hash"]).drop("__hash")
 
 

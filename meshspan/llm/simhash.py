@@ -33,20 +33,28 @@ PAIRS_UP_TO = 64
 GOLAY = 0xC75
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """The fingerprint of a UTF-8 text."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """Hashes of a UTF-8 text's word shingles in order; a shorter text is one shingle, a blank one has none."""
     import xxhash
 
     words = text.lower().split()  # bytes.lower() changes A-Z only
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     body = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     n = max(1, len(words) - shingle + 1)
     starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
     ends = ends[-n:].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(body[a:z], 42) for a, z in zip(starts, ends)), np.uint64, n)
+    return np.fromiter((digest(body[a:z], 42) for a, z in zip(starts, ends)), np.uint64, n)
+
+
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """The fingerprint of a UTF-8 text."""
+    h = shingle_hashes(text, shingle)
+    n = len(h)
+    if not n:
+        return 0
     count = np.zeros(64, np.int64)
     for lo in range(0, n, 65536):
         bits = np.unpackbits(h[lo : lo + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)

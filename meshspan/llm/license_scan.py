@@ -32,7 +32,7 @@ RULES = (
     (r"whilst", "while"),
     (r"[^\pL\pN]+", " "),
 )
-#: every known text holds one of these in canonical form, so texts without any need no digest
+#: words of the built-in texts, by which the SQL alone narrows its rows
 TELLING = r"licen[sc]e|permission|public domain|redistribut"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -95,10 +95,8 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     known = known.groupBy("digest").agg(F.min("licence").alias("licence"))
     text = F.col("text")
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    low = F.lower(text)
-    lines = F.transform(F.filter(F.split(text, r"\n"), lambda x: F.lower(x).rlike(TELLING)), digest)
-    rows = src.select(F.monotonically_increasing_id().alias("rid"), "id", F.when(low.rlike(TELLING), F.struct(digest(text).alias("whole"), F.array_distinct(lines).alias("lines"))).alias("d"))
-    rows = stored(rows.select("rid", "id", "d.*"), "digests")
+    lines = F.array_distinct(F.transform(F.split(text, r"\n"), digest))
+    rows = stored(src.select(F.monotonically_increasing_id().alias("rid"), "id", digest(text).alias("whole"), lines.alias("lines")), "digests")
     whole = rows.select("rid", F.col("whole").alias("digest")).filter("digest is not null").join(known, "digest").select("rid", "licence")
     single = rows.select("rid", F.explode("lines").alias("digest")).filter("digest is not null").join(known, "digest").groupBy("rid").agg(F.array_sort(F.collect_set("licence")).alias("notices"))
     out = rows.select("rid", "id").join(whole, "rid", "left").join(single, "rid", "left")

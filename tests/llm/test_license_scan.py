@@ -8,3 +8,17 @@ def test_license_scan(spark):
     got = sorted((r.doc_id or -1, r.licence or "", tuple(r.notices)) for r in license_scan(df).collect())
     assert got == [(-1, "0BSD", ()), (1, "MIT", ()), (1, "MIT", ()), (2, "", ()), (3, "", ()), (4, "", ()), (5, "", ("Apache-2.0", "MIT")), (6, "", ()), (7, "", ()), (8, "", ())]
     assert license_scan(df.limit(0)).count() == 0
+
+
+def test_every_text_and_line_is_digested(spark):
+    from pyspark.sql import functions as F
+
+    from meshspan.llm.license_scan import digest
+
+    rows = [(1, "This work is in the\npublic   domain."), (2, "This work is in the public-domain"), (3, "Do what you like.\nOther"), (4, "do WHAT, you like")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.licence, r.notices) for r in license_scan(df).collect()}
+    assert got[1] == ("CC0-1.0", []) and got[2] == ("CC0-1.0", ["CC0-1.0"])
+    own = spark.createDataFrame([("Own", "Do what you like")], "licence string, text string").select("licence", digest(F.col("text")).alias("digest"))
+    got = {r.doc_id: (r.licence, r.notices) for r in license_scan(df, own).collect()}
+    assert got[3] == (None, ["Own"]) and got[4] == ("Own", ["Own"])

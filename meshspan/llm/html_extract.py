@@ -48,12 +48,12 @@ IN_PARAGRAPH = "p"
 
 
 class Line:
-    """A block's text, its characters inside links, whether a container rules it out, and its article's and container's numbers."""
+    """A block's text, its characters inside links, whether a container rules it out, its article's and container's numbers, and whether it is a heading or a list item."""
 
-    __slots__ = ("text", "linked", "away", "home", "heading", "box")
+    __slots__ = ("text", "linked", "away", "home", "heading", "item", "box")
 
-    def __init__(self, text, linked, away, home, heading, box):
-        self.text, self.linked, self.away, self.home, self.heading, self.box = text, linked, away, home, heading, box
+    def __init__(self, text, linked, away, home, heading, item, box):
+        self.text, self.linked, self.away, self.home, self.heading, self.item, self.box = text, linked, away, home, heading, item, box
 
     @property
     def weight(self) -> int:
@@ -76,20 +76,58 @@ def _ruled_out(tag: str, attrs: str, in_home: bool) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs, re.I))
 
 
-def lines(page: str) -> list[Line]:
-    """The page's blocks in order."""
+class _Open:
+    """The open elements.  Every element is entered once and left once, and no question looks further than the top, so parsing takes linear time."""
+
+    def __init__(self):
+        #: tag, ruled out here or above, an article here, the container's number
+        self.stack: list[tuple[str, bool, bool, int]] = []
+        self.where: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.homes: list[int] = [0]
+        self.links = self.headings = self.items = 0
+
+    def enter(self, tag: str, away: bool, home: int, box: int) -> None:
+        self.where.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        if home:
+            self.homes.append(home)
+        self.count(tag, 1)
+        self.stack.append((tag, away, bool(home), box))
+
+    def leave(self, depth: int) -> None:
+        """Closes all elements from ``depth`` on."""
+        while len(self.stack) > depth:
+            tag, _, home, _ = self.stack.pop()
+            self.where[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+            if home:
+                self.homes.pop()
+            self.count(tag, -1)
+
+    def count(self, tag: str, by: int) -> None:
+        self.links += by * (tag == "a")
+        self.items += by * (tag == "li")
+        self.headings += by * (len(tag) == 2 and tag[0] == "h" and tag[1].isdigit())
+
+
+def lines(page: str) -> tuple[list[Line], dict[int, int]]:
+    """The page's blocks in order, and for the container of each article inside another the container around it."""
     out: list[Line] = []
     buffer: list[str] = []
-    linked = 0
-    stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, ruled out here or above, an article here, a link here, the container's number
-    homes, home_of, depth_link, boxes, box = 0, [0], 0, 0, 0
-    away = heading = False
+    linked = homes = boxes = 0
+    around: dict[int, int] = {}
+    o = _Open()
+    #: what the text gathered so far stands in: ruled out, container, a heading, a list item
+    place = (False, 0, False, False)
 
     def flush():
         nonlocal linked
         text = SPACE.sub(" ", _html.unescape("".join(buffer))).strip()
         if text:
-            out.append(Line(text, linked, away, home_of[-1], heading, box))
+            out.append(Line(text, linked, place[0], o.homes[-1], place[2], place[3], place[1]))
         buffer.clear()
         linked = 0
 
@@ -101,7 +139,7 @@ def lines(page: str) -> list[Line]:
         if lt > at:
             piece = page[at:lt]
             buffer.append(piece)
-            if depth_link:
+            if o.links:
                 linked += len(piece)
         if lt == size:
             break
@@ -127,41 +165,28 @@ def lines(page: str) -> list[Line]:
         if tag in BLOCK:
             flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    for _, _, home, link, _ in stack[k:]:
-                        if home:
-                            home_of.pop()
-                        depth_link -= link
-                    del stack[k:]
-                    break
+            if o.where.get(tag):
+                o.leave(o.where[tag][-1])
         elif tag not in VOID:  # as browsers do, a slash closes nothing else
-            if tag in BLOCK and stack:  # an open paragraph, and inline elements left open in it, end here
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == IN_PARAGRAPH:
-                        depth_link -= sum(x[3] for x in stack[k:])
-                        del stack[k:]
-                        break
-                    if stack[k][0] in BLOCK:
-                        break
-            if tag == "li" and stack and stack[-1][0] == "li":
-                stack.pop()
-            home = tag in HOME and not (stack and stack[-1][1])
-            if home:
-                homes += 1
-                home_of.append(homes)
-            gone = bool(stack and stack[-1][1]) or _ruled_out(tag, attrs, len(home_of) > 1)
-            own = stack[-1][4] if stack else 0
-            if home or tag in BOX and len(home_of) == 1:  # an article is one container, whatever it holds
+            if tag in BLOCK and o.blocks and o.stack[o.blocks[-1]][0] == IN_PARAGRAPH:
+                o.leave(o.blocks[-1])  # an open paragraph, and inline elements left open in it, end here
+            if tag == "li" and o.stack and o.stack[-1][0] == "li":
+                o.leave(len(o.stack) - 1)
+            top = o.stack[-1] if o.stack else ("", False, False, 0)
+            home = tag in HOME and not top[1]
+            gone = top[1] or _ruled_out(tag, attrs, len(o.homes) > 1)
+            box = top[3]
+            if home or tag in BOX and len(o.homes) == 1:  # an article is one container, whatever it holds
                 boxes += 1
-                own = boxes
-            stack.append((tag, gone, home, tag == "a", own))
-            depth_link += tag == "a"
-        away = bool(stack and stack[-1][1])
-        box = stack[-1][4] if stack else 0
-        heading = any(len(x[0]) == 2 and x[0][0] == "h" and x[0][1].isdigit() for x in stack)
+                if home and len(o.homes) > 1:
+                    around[boxes] = box
+                box = boxes
+            homes += home
+            o.enter(tag, gone, homes if home else 0, box)
+        top = o.stack[-1] if o.stack else ("", False, False, 0)
+        place = (top[1], top[3], o.headings > 0, o.items > 0)
     flush()
-    return out
+    return out, around
 
 
 def spans(weights: list[int], window: int, surge: int) -> list[tuple[int, int]]:
@@ -185,7 +210,7 @@ def extract(page: str | None, window: int = 3, surge: int = 80) -> str:
     """The main text of a page: its blocks joined by line feeds; "" if there is none."""
     if not page:
         return ""
-    ls = lines(page)
+    ls, around = lines(page)
     weights = [x.weight for x in ls]
     every = _pieces(ls, spans(weights, window, 0))
     found = _pieces(ls, spans(weights, window, surge)) or every
@@ -193,11 +218,17 @@ def extract(page: str | None, window: int = 3, surge: int = 80) -> str:
         return ""
     mass = {(a, b): sum(weights[a:b]) for a, b in found}
     best = max(found, key=lambda p: (mass[p], -p[0]))
-    # Where the heaviest piece is marked as an article, marks rule out the text beside them.
-    rivals = [p for p in found if ls[p[0]].home or not ls[best[0]].home]
-    kept = [p for p in rivals if mass[p] * 4 >= mass[best]]
-    # Pieces of the same container belong together, however little text they have.
+    # Where the heaviest piece is marked as an article, marks rule out the text beside them;
+    # where it is not, text far lighter than it is not the article.
+    marked = bool(ls[best[0]].home)
+    kept = [p for p in found if (ls[p[0]].home if marked else mass[p] * 4 >= mass[best])]
+    # Pieces of the same container belong together, however little text they have;
+    # so does what stands in an article around the one kept, such as its title.
     boxes = {x.box for a, b in kept for x in ls[a:b] if x.weight}
+    for box in list(boxes):
+        while around.get(box, box) not in boxes:
+            box = around[box]
+            boxes.add(box)
     own = [p for p in every if any(x.box in boxes for x in ls[p[0] : p[1]] if x.weight)]
     take: set[int] = set()
     for a, b in kept + own:
@@ -205,6 +236,13 @@ def extract(page: str | None, window: int = 3, surge: int = 80) -> str:
             take.update(range(a, b))
         else:
             take.update(i for i in range(a, b) if ls[i].box in boxes)
+    # Linked paragraphs between the pieces of a container are its text; linked list items are menus.
+    ends: dict[int, int] = {}
+    for i in sorted(take):
+        box = ls[i].box
+        if box in boxes:
+            take.update(k for k in range(ends.get(box, i), i) if ls[k].box == box and not ls[k].item)
+            ends[box] = i + 1
     for a, _ in kept + own:  # a linked heading before a piece is its title
         while a and ls[a - 1].heading and not ls[a - 1].away and ls[a - 1].box in boxes:
             a -= 1

@@ -35,9 +35,57 @@ def test_frame(spark):
     # the dive ends an article before its list of links
     (f"<article><p>{P}</p><p>{P}</p><ul><li><a href=/1>One more story</a></li><li><a href=/2>Another story</a></li></ul></article>", f"{P}\n{P}"),
     # spans of one container stay together, whatever their share
-    (f"<body><div><p>{P}</p>{'<p><a href=/x>linked</a></p>' * 4}<p>A short last word.</p></div><div><p>Other.</p></div></body>", f"{P}\nA short last word."),
+    (f"<body><div><p>{P}</p>{'<p><a href=/x>linked</a></p>' * 4}<p>A short last word.</p></div><div><p>Other.</p></div></body>", f"{P}\n" + "linked\n" * 4 + "A short last word."),
     # a mark cuts the span that runs past it
     (f"<article><h1><a href=/t>Title</a></h1><p>{P}</p></article><div><p>{P}</p></div>", f"Title\n{P}"),
 ])
 def test_surge_and_dive_decide(page, want):
     assert extract(page) == want
+
+
+@pytest.mark.parametrize("page, want", [
+    # a title and an introduction before the article inside the main part
+    (f"<main><h1>Title</h1><p>Intro here.</p><article><p>{P}</p></article></main>", f"Title\nIntro here.\n{P}"),
+    # a paragraph that is one link, in the middle
+    (f"<div><p>{P}</p><p><a href=/x>{P}</a></p><p>{P}</p></div>", f"{P}\n{P}\n{P}"),
+    # several articles, long and short
+    (f"<article><p>{P}</p><p>{P}</p><p>{P}</p><p>{P}</p><p>{P}</p></article><article><p>{P[:120]}</p></article>", "\n".join([P] * 5 + [P[:120].strip()])),
+])
+def test_nothing_else_is_dropped(page, want):
+    assert extract(page) == want
+
+
+@pytest.mark.parametrize("piece", ["<b>x", "<div>x", "<li>x", "<p><b>x", "<a href=x>y<div></div>", "<h1>x", "<article>x", "</b>x", "<<", "<a '", "<main><section>x"])
+def test_open_tags_take_linear_time(piece):
+    import time
+
+    began = time.process_time()
+    extract(piece * (256_000 // len(piece)))
+    assert time.process_time() - began < 4
+
+
+def test_window_sums_by_brute_force():
+    import random
+
+    from meshspan.llm.html_extract import spans
+
+    rnd = random.Random(4)
+    for _ in range(400):
+        w = [rnd.choice([0, 0, 0, 5, 40, 90, 200]) for _ in range(rnd.randrange(0, 30))]
+        window, surge = rnd.choice([1, 2, 3, 5]), rnd.choice([0, 80])
+        total = lambda i: sum(w[i : i + window])  # noqa: E731, B023
+        want, i = [], 0
+        while i < len(w):
+            if total(i) > surge and w[i]:
+                j = next((j for j in range(i, len(w)) if total(j) == 0), len(w))
+                want.append((i, j))
+                i = j
+            else:
+                i += 1
+        assert spans(w, window, surge) == want
+
+
+def test_repeated_rows_agree(spark):
+    row = (1, "u", f"<p>{P}</p>")
+    got = html_extract(spark.createDataFrame([row] * 3, "page_id long, url string, html string")).collect()
+    assert len(got) == 3 and len(set(got)) == 1 and got[0].text == P

@@ -4,7 +4,7 @@ from math import log
 
 import numpy as np
 
-from meshspan.llm.language_id import BITS, EDGE, KneserNey, grams, language_id
+from meshspan.llm.language_id import BITS, EDGE, SYMBOLS, WORD, Scorer, Shard, discount, grams, language_id, mask, shard_of, tables, train, unigrams
 
 PARTS = {"en": "the of ing tion th er an wh ou".split(), "de": "der sch ung ein ch zu keit ü ß".split(), "ελ": "και το στη ου ας ν ει".split()}
 
@@ -50,9 +50,16 @@ def test_model_equals_the_definition():
     words = sample(rnd, "en", 300).split()
     keys, _ = grams(words, 4)
     k, c = np.unique(keys, return_counts=True)
-    m, p = KneserNey(k, c, 4), slow_kn(words, 4)
+    every = tables(k, c, 4)
+    d = {n: discount((x == 1).sum(), (x == 2).sum()) for n, (_, x) in every.items()}
+    first = unigrams(np.bincount((every[2][0] & mask(1)).astype(int), minlength=SYMBOLS).astype(float))
+    shards = {int(x): Shard.estimate(k[shard_of(k) == x], c[shard_of(k) == x], 4, d, first) for x in np.unique(shard_of(k))}
+    none = Shard.estimate(k[:0], c[:0], 4, d, first)
+    p = slow_kn(words, 4)
     probe, _ = grams(words[:40] + ["zebra", "é", "thxe"], 4)
-    for key, got in zip(probe.tolist(), m.score(probe)):
+    for key in probe.tolist():
+        one = np.array([key], np.uint64)
+        got = shards.get(int(shard_of(one)[0]), none).score(one)[0]
         g = tuple(key >> BITS * i & 4095 for i in (3, 2, 1, 0))
         assert abs(got - log(p(g))) < 1e-4
 
@@ -76,3 +83,33 @@ def test_held_out_accuracy_and_edges(spark):
 def test_no_language_known(spark):
     df = spark.createDataFrame([(1, "the end", None), (2, None, None)], "doc_id long, text string, lang string")
     assert {(r.lang_pred, r.score, r.rejected) for r in language_id(df).collect()} == {("und", 0.0, True)}
+
+
+def test_groups_of_shards_add_up(spark):
+    """Whatever the size of the groups, every n-gram counts and the sums are the same."""
+    from meshspan.llm.language_id import sums_of
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(5)
+    rows = [(i, sample(rnd, lang, 30), lang) for i in range(90) for lang in [rnd.choice(list(PARTS))]] + [(1000, None, None), (1001, "", None), (0, "the ß ου", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    keyed = df.select(F.struct("doc_id", "text").alias("k"), "text")
+    got = []
+    for size in (10**9, 60):
+        m = train(df, group_grams=size)
+        got.append((len(m.groups[0]), sorted((r.k.doc_id, r.n, tuple(round(x, 6) for x in r.sums)) for r in sums_of(keyed, m).collect())))
+    assert got[0][0] == 1 and got[1][0] > 5 and got[0][1] == got[1][1]
+    # the whole model in one piece, from all texts, by the definition
+    models, member = train(df).load(0, 0)
+    lang = sorted(PARTS)[0]
+    p = slow_kn([w for _, t, x in rows if x == lang for w in WORD.findall(t.lower())], 5)
+    for text in ("the ing wh", "zzz"):
+        keys, _ = grams(text.split(), 5)
+        want = sum(log(p(tuple(k >> BITS * i & 4095 for i in (4, 3, 2, 1, 0)))) for k in keys.tolist())
+        assert abs(Scorer(models, np.ones_like(member)).texts([text])[0][0][0] - want) < 1e-3
+
+
+def test_numbers_are_no_letters(spark):
+    assert WORD.findall("½ ² ① Ⅳ ٣ x²y ª日") == ["x", "y", "ª日"]
+    df = spark.createDataFrame([(1, "the end of it", "en"), (3, "½ ² ① Ⅳ", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in language_id(df).collect()}[3] == "und"

@@ -3,12 +3,12 @@
 Each window of ``window`` words keeps the smallest hash of its k-grams as its
 fingerprint.  Equal windows keep equal fingerprints, so every shared span of
 ``window`` words or more is found.  Training windows whose fingerprint may be a
-benchmark fingerprint (a Bloom filter of fixed size tells) are carried on with a
+benchmark fingerprint (a filter sized by their number tells) are carried on with a
 128-bit hash of the whole window; a join on fingerprint and hash extends the hit
 to the full window.  Benchmark items shorter than a window form one window of
 their own length.
 
-Only the filter, whose size is a constant, goes to all executors.  The benchmark
+Only the filter, of 16 MB at most, goes to all executors.  The benchmark
 itself is joined as a table: Spark broadcasts it if its size allows and shuffles
 it if not.
 """
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .scratch import distinct_names, stored
 from .wordhash import ALNUM, Hasher, Pack, packs
 
-BLOOM_BITS = 1 << 23
+#: the filter has 16 bits a key, in powers of two between these; beyond the last it lets more windows through to the join
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 
 
@@ -100,7 +101,7 @@ def _candidates(lengths: list[int], k: int, bloom: bytes, schema: pa.Schema):
             found = [[] for _ in range(6)]
             for n in lengths:
                 at, fp = win.fingerprints(n)
-                maybe = bits[fp & np.uint64(BLOOM_BITS - 1)]
+                maybe = bits[fp & np.uint64(len(bits) - 1)]
                 at, fp = at[maybe], fp[maybe]
                 a, b = win.hashes(n, at)
                 for f, x in zip(found, (owner[at], at - first[owner[at]], np.full(len(at), n), fp.view(np.int64), a.view(np.int64), b.view(np.int64))):
@@ -119,18 +120,15 @@ def _candidates(lengths: list[int], k: int, bloom: bytes, schema: pa.Schema):
 
 
 def _bloom(fps: DataFrame) -> bytes:
-    """The filter of the column fp: BLOOM_BITS bits, whatever the table's size."""
-    bit = F.col("fp").bitwiseAND(BLOOM_BITS - 1).alias("bit")
-    spark_bit = F.bitmap_bit_position("bit"), F.bitmap_bucket_number("bit")
-    parts = fps.select(bit).withColumn("pos", spark_bit[0]).withColumn("bucket", spark_bit[1]).groupBy("bucket").agg(F.bitmap_construct_agg("pos").alias("bits"))
-    out = np.zeros(BLOOM_BITS, bool)
-    size = 32768
-    for r in parts.collect():  # at most BLOOM_BITS / 32768 rows and one more
-        on = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little"))
-        # Bucket b holds 1 + (b - 1) * 32768 .. b * 32768; bucket 0 holds 0 only.
-        value = on + (r.bucket - 1) * size + 1 if r.bucket > 0 else -on
-        out[value[(value >= 0) & (value < BLOOM_BITS)]] = True
-    return np.packbits(out, bitorder="little").tobytes()
+    """The filter of the column fp: a bit for each value's low bits."""
+    n = fps.select("fp").distinct().count()
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * n).bit_length()))
+    bit = F.col("fp").bitwiseAND(size - 1).alias("bit")
+    parts = fps.select(bit).groupBy(F.shiftright("bit", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits"))
+    out = np.zeros(size // 8, np.uint8)
+    for r in parts.collect():  # at most MOST_BITS / 32768 rows
+        out[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)[: len(out)]
+    return out.tobytes()
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5) -> DataFrame:
@@ -153,7 +151,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     w = bench.select(F.col(item_col).alias("item"), F.col(item_text).cast("binary").alias("text")).mapInArrow(_bench(window, k, schema), f"item {item_type.simpleString()}, n int, fp long, a long, b long")
     w = stored(w.distinct(), "benchwindows")
     lengths = [r.n for r in w.select("n").distinct().collect()]  # at most ``window`` rows
-    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(w))  # BLOOM_BITS / 8 bytes
+    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(w))  # MOST_BITS / 8 bytes at most
     cand = pa.struct([(x, pa.int64()) for x in ("at", "n", "fp", "a", "b")])
     out = pa.schema([("rid", pa.int64()), ("id", to_arrow_type(id_type)), ("hash", pa.int64()), ("n_words", pa.int64()), ("cands", pa.list_(cand))])
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).cast("binary").alias("text"))

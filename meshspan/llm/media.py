@@ -6,7 +6,7 @@ shards of bounded size; rows carry digest, shard, offset and length.  Image
 metadata is read from the first bytes of a stored image, never from the payload.
 
 Only images of texts that have copies are shuffled, to be written once: a filter
-of fixed size, built from the digests that occur twice, tells which may have any.
+sized by the number of digests that occur twice tells which may have any.
 A text that passes it by chance is shuffled for nothing, and stored right.
 """
 
@@ -71,15 +71,18 @@ def decode_png(image: bytes) -> bytes:
     return lines[:, 1:].tobytes()
 
 
-FILTER_BITS = 1 << 23
+#: the filter has 16 bits a key, in powers of two between these; beyond the last more images are shuffled
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 
 
 def _filter(keys: DataFrame) -> bytes:
-    """FILTER_BITS bits, on for the low bits of every key's hash (column h), whatever the table's size."""
-    at = keys.select(F.col("h").bitwiseAND(FILTER_BITS - 1).alias("at"))
+    """Bits that are on for the low bits of every key's hash (column h)."""
+    keys = stored(keys, "copied")
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys.count()).bit_length()))
+    at = keys.select(F.col("h").bitwiseAND(size - 1).alias("at"))
     parts = at.groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg((F.col("at") % 32768).cast("long")).alias("bits"))
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in parts.collect():  # at most FILTER_BITS / 32768 rows
+    out = np.zeros(size // 8, np.uint8)
+    for r in parts.collect():  # at most MOST_BITS / 32768 rows
         out[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
     return out.tobytes()
 
@@ -91,7 +94,7 @@ def _images(filter_bits: bytes, shared: bool):
         bits = np.unpackbits(np.frombuffer(filter_bits, np.uint8), bitorder="little").view(bool)
         seen = set()
         for b in batches:
-            maybe = bits[b.column("h").to_numpy() & (FILTER_BITS - 1)]
+            maybe = bits[b.column("h").to_numpy() & (len(bits) - 1)]
             for lo in range(0, b.num_rows, 256):
                 keys, images = [], []
                 for i in range(lo, min(lo + 256, b.num_rows)):
@@ -214,7 +217,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("id"), raw.alias("raw")).withColumn("key", F.unhex(F.sha2("raw", 256)))
     keys = stored(rows.select("id", "key"), "keys")
     copied = keys.groupBy("key").count().filter("count > 1").select(F.xxhash64("key").alias("h"))
-    bits = spark.sparkContext.broadcast(_filter(copied))  # FILTER_BITS / 8 bytes
+    bits = spark.sparkContext.broadcast(_filter(copied))  # MOST_BITS / 8 bytes at most
     hashed = rows.select("key", "raw", F.xxhash64("key").alias("h"))
 
     def placed(shared: bool) -> DataFrame:

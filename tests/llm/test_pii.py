@@ -51,3 +51,46 @@ def test_redact(spark):
     df = spark.createDataFrame([(1, "é write a@b.co now, 4111 1111 1111 1111!", 9), (2, None, 1), (3, "clean 12", 2), (None, "+1 (456) 555-2186", 3), (1, "é write a@b.co now, 4111 1111 1111 1111!", 9)], "doc_id long, text string, n_chars long")
     got = sorted((r.doc_id or -1, r.text, r.n_chars) for r in redact(df).withColumn("text", F.coalesce("text", F.lit("-"))).collect())
     assert got == [(-1, "[PHONE]", 3), (1, "é write [EMAIL] now, [CARD]!", 9), (1, "é write [EMAIL] now, [CARD]!", 9), (2, "-", 1), (3, "clean 12", 2)]
+
+
+def added(text, bases):
+    """Spans that the method adds to a text when every labeler agrees, written apart from the operator."""
+    out = []
+    for kind, p in (("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"), ("ssn", r"\b\d{3}-\d{2}-\d{4}\b"), ("secret", r"\b[0-9a-f]{40}\b"), ("phone", r"\(\d{3}\) \d{3}-\d{4}"), ("name", r"\b(?:Mr\.|Frau) [A-Z][a-z]+ [A-Z][a-z]+")):
+        for m in re.finditer(p, text):
+            if kind == "iban" and int("".join(str(int(c, 36)) for c in m[0].replace(" ", "")[4:] + m[0][:4])) % 97 != 1:
+                continue
+            if kind == "ssn" and (m[0][:3] in ("000", "666") or m[0][0] == "9"):
+                continue
+            if all(b <= m.start() or a >= m.end() for a, b in bases):
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return set(out)
+
+
+def test_added_spans(spark):
+    import random
+
+    rnd = random.Random(2)
+    good = ["IBAN DE89 3704 0044 0532 0130 00", "account GB82 WEST 1234 5698 7654 32", "SSN 123-45-6789", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "call (415) 555-0100", "dear Mr. John Smith", "name Frau Anna Schmidt"]
+    bad = ["IBAN DE88 3704 0044 0532 0130 00", "000-45-6789", "a/very/long/path/of/many/words", "supercalifragilisticexpialidocious", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaa1"]
+    rows = [(i, " and ".join(rnd.sample(good, 3) + rnd.sample(bad, 2)) + f" mail u{i}@x.example.com.") for i in range(200)]
+    got = {r.doc_id: (r.base, r.spans) for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "base", joined_spans("spans").alias("spans")).collect()}
+    for i, t in rows:
+        base_, spans = got[i]
+        want = added(t, [(b["start"], b["end"]) for b in base_]) | {f"{b['kind']}:{b['start']}:{b['end']}" for b in base_}
+        assert set(spans.split(",")) == want, (t, set(spans.split(",")) ^ want)
+
+
+def test_added_spans_never_overlap_base_spans(spark):
+    text = "ips 1.2.3.4 call (415) 555-0100 card 4111 1111 1111 1111 key deadbeefdeadbeef0123456789abcdef01234567@host.com " * 400
+    r = find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    bases = sorted((b.start, b.end) for b in r.base)
+    for x in r.spans:
+        if (x.start, x.end) not in bases:
+            assert not any(a < x.end and x.start < b for a, b in bases)
+    assert len(bases) >= 1200
+
+
+def test_redact_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "mail a@b.co", 5, 6, 7)], "doc_id long, text string, m_hash long, marks long, __hash long")
+    assert redact(df).columns == df.columns and tuple(redact(df).first()) == (1, "mail [EMAIL]", 5, 6, 7)

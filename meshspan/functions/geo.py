@@ -252,3 +252,44 @@ def plasma_rgb(value, low, high) -> dict[str, Column]:
         hi = F.element_at(F.array(*[F.lit(float(c[i])) for c in PLASMA]), seg + 2)
         out[name] = F.floor(lo + (hi - lo) * f + 0.5).cast("int")
     return out
+
+
+def corridor_ring(lat1, lon1, lat2, lon2, half_m: float) -> Column:
+    """The closed ring of a strip ``half_m`` to each side of the way between two points: left side forth, right side back."""
+    d = haversine_m(lat1, lon1, lat2, lon2, R_GROUND)
+    t = bearing_rad(lat1, lon1, lat2, lon2)
+    n = F.greatest(F.ceil(d / max(half_m, 5000.0)), F.lit(1))
+
+    def side(turn: float) -> Column:
+        def at(i: Column) -> Column:
+            mid = destination(lat1, lon1, t, i.cast("double") / n * d, R_GROUND)
+            la, lo = destination(*mid, t + turn * math.pi / 2, half_m, R_GROUND)
+            return F.struct(lo.alias("lon"), la.alias("lat"))
+
+        return F.transform(F.sequence(F.lit(0).cast("long"), n), at)
+
+    left = side(-1)
+    return F.concat(left, F.reverse(side(1)), F.slice(left, 1, 1))
+
+
+def sector_bbox(lat, lon, goal_lat, goal_lon, min_m: float, max_m: float, half_deg: float, steps: int = 24) -> dict[str, Column]:
+    """The box of a ring sector towards a goal, by points on its two arcs, and of its centre."""
+    t = bearing_rad(lat, lon, goal_lat, goal_lon)
+    points = [destination(lat, lon, t + math.radians(-half_deg + i * 2 * half_deg / steps), m) for i in range(steps + 1) for m in (max(min_m, 1.0), max_m)]
+    las, los = [lit(lat), *[p[0] for p in points]], [lit(lon), *[p[1] for p in points]]
+    return {"west": F.least(*los), "south": F.least(*las), "east": F.greatest(*los), "north": F.greatest(*las)}
+
+
+def view_bin_m(south, north, west, east, across: int, least_m: float, most_m: float) -> Column:
+    """Whole metres of a bin such that ``across`` of them span a view, within bounds."""
+    wide = F.abs(lit(east) - lit(west)) * 111_320 * F.cos(F.radians((lit(south) + lit(north)) / 2))
+    return F.floor(F.greatest(F.lit(least_m), F.least(F.lit(most_m), wide / across)) + 0.5)
+
+
+def resampled(segments, step_m: float, both_ends: bool):
+    """Segments (lat_a, lon_a, lat_b, lon_b) as samples i of n, at most ``step_m`` apart: lat, lon; the first end only with ``both_ends``."""
+    n = F.greatest(F.ceil(rounded(haversine_m("lat_a", "lon_a", "lat_b", "lon_b", R_GROUND), 3) / step_m), F.lit(1))
+    first = F.lit(0 if both_ends else 1).cast("long")
+    s = segments.withColumn("n", n).withColumn("i", F.explode(F.sequence(first, F.col("n"))))
+    at = lambda c: F.col(f"{c}_a") + (F.col(f"{c}_b") - F.col(f"{c}_a")) * F.col("i") / F.col("n")
+    return s.withColumn("lat", at("lat")).withColumn("lon", at("lon"))

@@ -82,3 +82,40 @@ def mutual_margin_db(forward, reverse) -> Column:
 def link_kind(forward, reverse) -> Column:
     f, r = lit(forward), lit(reverse)
     return F.when(f.isNotNull() & r.isNotNull(), "two_way").when(f.isNotNull() | r.isNotNull(), "one_way").otherwise("none")
+
+
+def within_hop(distance_m, hop_km) -> Column:
+    """Whether a distance is within a hop range, with a metre of slack."""
+    return lit(distance_m) <= lit(hop_km) * 1000 + 1
+
+
+def depth_admissible(left_m, hops: int, depth: int, hop_m: float) -> Column:
+    """Whether the other end, ``left_m`` away, can be reached with the hops left after ``depth``."""
+    return lit(left_m) <= (hops - depth) * hop_m + 1
+
+
+def z_score(pct) -> Column:
+    """The normal quantile of a percentage, by a rational approximation good to 1e-9 (fixed coefficients)."""
+    p = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), lit(pct) / 100))
+    a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+    b = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)
+    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
+
+    def poly(k, x):
+        out = F.lit(0.0)
+        for v in k:
+            out = out * x + v
+        return out
+
+    def tail(q):
+        return poly(c, q) / (poly(d, q) * q + 1)
+
+    mid = p - 0.5
+    return F.when(p < 0.02425, tail(F.sqrt(-2 * F.ln(p)))).when(p > 1 - 0.02425, -tail(F.sqrt(-2 * F.ln(1 - p)))).otherwise(poly(a, mid * mid) * mid / (poly(b, mid * mid) * mid * mid + 1))
+
+
+def reliability_margin(situation_pct, time_pct, sigma: float = SIGMA_DB) -> Column:
+    """The fade margin of two percentages that rows carry."""
+    s, t = z_score(situation_pct), z_score(time_pct)
+    return F.sqrt(s * s + t * t) * sigma

@@ -93,3 +93,48 @@ def natural_key(name) -> Column:
     """A sort key that orders digit runs by value: each padded to twelve."""
     parts = F.regexp_extract_all(F.lower(lit(name)), F.lit(r"(\d+|\D+)"), 1)
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 12, "0")).otherwise(p)), "")
+
+
+def layer_features(df, props: str, include: dict, exclude: dict, label: str, style: str):
+    """``df`` filtered and with ``label`` and ``style_key``.
+
+    ``include`` maps fields to wanted values, or to None for any value; a feature
+    without properties passes only where nothing is included.
+    """
+    p = F.col(props)
+    value = lambda f: compare_text(F.try_element_at(p, F.lit(f)))
+    ok = F.lit(True)
+    for f, wanted in include.items():
+        ok = ok & (value(f).isNotNull() if wanted is None else property_in(p, f, wanted))
+    for f, unwanted in exclude.items():
+        ok = ok & ~property_in(p, f, unwanted)
+    bare = p.isNull() | (F.size(p) == 0)
+    kept = df.filter(F.when(bare, F.lit(not include)).otherwise(ok))
+    return kept.withColumn("label", F.coalesce(value(label), F.lit(""))).withColumn("style_key", F.coalesce(value(style), F.lit("other")))
+
+
+def grouped_values(report) -> Column:
+    """(value, n) of the lines ``value (n)`` of a text report; other lines are left out."""
+    line = r"^\s*(.*?)\s*\((\d+)\)\s*$"
+    rows = F.filter(F.split(lit(report), "\n"), lambda x: x.rlike(line))
+    return F.transform(rows, lambda x: F.struct(F.regexp_extract(x, line, 1).alias("value"), F.regexp_extract(x, line, 2).cast("long").alias("n")))
+
+
+def csv_set(text) -> Column:
+    """The entries of a comma-separated list, trimmed, blanks left out, each once."""
+    return F.array_distinct(F.filter(F.transform(F.split(lit(text), ","), lambda x: F.btrim(x)), lambda x: x != ""))
+
+
+def line_digest(layer, points) -> Column:
+    """A digest of a layer's name and a line's vertices (lat, lon) to five places."""
+    pts = F.transform(lit(points), lambda p: F.format_string("%.5f,%.5f", p["lat"], p["lon"]))
+    return F.sha2(F.concat(lit(layer).cast("string"), F.lit("|"), F.array_join(pts, ";")), 256)
+
+
+def hike_report(name, length_m, gain_m, loss_m, max_grade) -> Column:
+    return F.format_string("=== Hike profile: %s === 3D distance: %.0f m | Gain: %.0f m | Loss: %.0f m | Max grade: %.1f%%", lit(name), lit(length_m), lit(gain_m), lit(loss_m), lit(max_grade))
+
+
+def canonical_json(value: Column) -> Column:
+    """JSON text of a struct whose fields are in order already, nulls left out."""
+    return F.to_json(value)

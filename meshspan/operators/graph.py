@@ -2,7 +2,8 @@
 
 Shortest paths run as frontier rounds of joins and grouped minima, so a graph of
 any size stays distributed; a round relaxes only nodes whose cost fell in the
-round before.  Lineage is cut each round by a reliable checkpoint.
+round before, and rewrites only what changed lately.  Lineage is cut each round by
+a reliable checkpoint.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -35,51 +36,59 @@ def weld(points: DataFrame, size_m: float, lat: str = "lat", lon: str = "lon") -
     return points.withColumn("node", F.xxhash64(cy, cx))
 
 
-def reach(edges: DataFrame, sources: DataFrame, cap: float | None = None, rounds: int = 10_000) -> DataFrame:
+def reach(edges: DataFrame, sources: DataFrame, cap: float | None = None, key: list[str] | None = None) -> DataFrame:
     """Least cost from any source: (node, cost, prev) over directed ``edges`` (src, dst, cost), up to ``cap``.
 
-    Equal costs prefer the smaller predecessor, so results don't depend on
-    partitioning.  Sources have cost 0 and no predecessor.
+    With ``key``, columns of ``sources``, every key has a tree of its own.  Equal
+    costs prefer the smaller predecessor, so results don't depend on
+    partitioning.  Sources have cost 0 and no predecessor.  Costs are positive,
+    so the rounds end with the longest least way, whatever its length.
     """
-    best = _cut(sources.select(F.col("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("prev")).distinct())
-    front = best
-    for _ in range(rounds):
-        step = front.join(edges.withColumnRenamed("cost", "w"), front.node == edges.src).select(F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("src").alias("prev"))
+    key = key or []
+    at = [*key, "node"]
+    best = cut(sources.select(*at, F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("prev")).distinct())
+    front, late = best, None
+    while True:
+        step = front.join(edges.withColumnRenamed("cost", "w"), front.node == edges.src).select(*key, F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("src").alias("prev"))
         if cap is not None:
             step = step.filter(F.col("cost") <= cap)
-        step = step.groupBy("node").agg(F.min(F.struct("cost", "prev")).alias("m")).select("node", "m.*")
-        old = best.select("node", F.col("cost").alias("old"), F.col("prev").alias("old_prev"))
-        j = step.join(old, "node", "left")
-        better = F.col("old").isNull() | (F.col("cost") < F.col("old")) | ((F.col("cost") == F.col("old")) & (F.col("prev") < F.col("old_prev")))
-        front = _cut(j.filter(better).select("node", "cost", "prev"))
+        step = step.groupBy(*at).agg(F.min(F.struct("cost", "prev")).alias("m")).select(*at, "m.*")
+        # What earlier rounds improved is small beside the nodes that stand; both are looked up, only the first is rewritten.
+        for have in (best, late):
+            if have is not None:
+                old = have.select(*at, F.col("cost").alias("old"), F.col("prev").alias("old_prev"))
+                better = F.col("old").isNull() | (F.col("cost") < F.col("old")) | ((F.col("cost") == F.col("old")) & (F.col("prev") < F.col("old_prev")))
+                step = step.join(old, at, "left").filter(better).drop("old", "old_prev")
+        front = cut(step)
         if front.isEmpty():
-            return best
-        best = _cut(best.join(front.select("node"), "node", "left_anti").union(front))
-    return best
+            break
+        late = front if late is None else cut(late.join(front.select(*at), at, "left_anti").union(front))
+        if late.count() * 4 > best.count():
+            best, late = cut(best.join(late.select(*at), at, "left_anti").union(late)), None
+    return best if late is None else cut(best.join(late.select(*at), at, "left_anti").union(late))
 
 
-def paths(tree: DataFrame, targets: DataFrame, longest: int = 10_000) -> DataFrame:
+def paths(tree: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, step, node): the way from each target (column node) back to its source in a ``reach`` tree."""
     walk = targets.select(F.col("node").alias("target"), F.lit(0).alias("step"), "node").join(tree.select("node"), "node", "left_semi").select("target", "step", "node")
-    out, parents = _cut(walk), tree.filter("prev is not null").select("node", "prev")
+    out, parents = cut(walk), tree.filter("prev is not null").select("node", "prev")
     tip = out
-    for _ in range(longest):
-        tip = _cut(tip.join(parents, "node").select("target", (F.col("step") + 1).alias("step"), F.col("prev").alias("node")))
+    while True:
+        tip = cut(tip.join(parents, "node").select("target", (F.col("step") + 1).alias("step"), F.col("prev").alias("node")))
         if tip.isEmpty():
             return out
         out = out.union(tip)
-    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each reaches, edges taken both ways; doubles its stride each round."""
-    both = _cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    label = _cut(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("component")))
+    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
+    label = cut(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("component")))
     while True:
         near = both.join(label.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("m"))
         new = label.join(near, "node").select("node", F.least("component", "m").alias("c"), F.col("component").alias("old"))
         hop = new.select(F.col("node").alias("c"), F.col("c").alias("cc"))
-        new = _cut(new.join(hop, "c", "left").select("node", F.least("c", "cc").alias("component"), "old"))
+        new = cut(new.join(hop, "c", "left").select("node", F.least("c", "cc").alias("component"), "old"))
         if new.filter("component <> old").isEmpty():
             return new.select("node", "component")
         label = new.select("node", "component")

@@ -1,8 +1,10 @@
-"""Order-dependent selections, each per group.
+"""Order-dependent selections.
 
-A group's candidates reach one task only after they were cut to what the
-selection may look at; groups themselves are independent.  The order is total:
-callers give a sort key and ties are broken by it.
+The order is total: callers give a sort key and ties are broken by it.  Selections
+per group (a subject, a route) run in the group's task.  Selections over the whole
+plane are cut to what can influence each other: rounds of joins on the pairs that
+are too close (``spread_everywhere``), or the connected groups of such pairs
+(``near_groups``); no band or cell edge changes their results.
 """
 
 from __future__ import annotations
@@ -10,9 +12,12 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import graph, grid_join
+
 R_GROUND = 6_371_000.0
 
 
@@ -56,6 +61,47 @@ def spread_out(df: DataFrame, group: list[str], order: list[str], ascending: lis
     return df.groupBy(*group).applyInPandas(run, df.schema)
 
 
+def _close_pairs(df: DataFrame, key: str, min_m: float, lat: str, lon: str) -> DataFrame:
+    """(a, b): keys of different rows less than ``min_m`` apart, both ways."""
+    a = df.select(F.col(key).alias("a"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))
+    b = df.select(F.col(key).alias("b"), F.col(lat).alias("r_lat"), F.col(lon).alias("r_lon"))
+    return grid_join.within(a, b, min_m, radius=R_GROUND).filter((F.col("dist_m") < min_m) & (F.col("a") != F.col("b"))).select("a", "b")
+
+
+def spread_everywhere(df: DataFrame, key: str, order: list[Column], min_m: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """In order, the rows at least ``min_m`` from all rows kept before, over the whole plane.
+
+    ``key`` is unique and ``order`` total.  Each round keeps every open row that
+    comes before all open rows near it and drops the rows near those; that is
+    what going through the rows one by one gives.
+    """
+    place = df.select(F.col(key).alias("a"), F.struct(*order).alias("o"))
+    pairs = _close_pairs(df, key, min_m, lat, lon)
+    ahead = pairs.join(place, "a").join(place.select(F.col("a").alias("b"), F.col("o").alias("ob")), "b").filter(F.col("ob") < F.col("o")).select("a", "b")
+    ahead = graph.cut(ahead)  # b is near a and comes before it
+    open_ = graph.cut(ahead.select("a").distinct())
+    gone = None
+    while not open_.isEmpty():
+        # A row is out once a kept one is before it, and kept once all before it are out.
+        live = ahead.join(open_, "a", "left_semi")
+        if gone is not None:
+            live = live.join(gone.select(F.col("a").alias("b")), "b", "left_anti")
+        waits = live.join(open_.select(F.col("a").alias("b"), F.lit(True).alias("w")), "b", "left")
+        state = graph.cut(waits.groupBy("a").agg(F.max(F.col("w").isNull()).alias("hit")))
+        out = graph.cut(state.filter("hit").select("a"))
+        kept = open_.join(state, "a", "left_anti")
+        gone = out if gone is None else graph.cut(gone.union(out))
+        open_ = graph.cut(open_.join(out, "a", "left_anti").join(kept, "a", "left_anti"))
+    return df if gone is None else df.join(gone.withColumnRenamed("a", key), key, "left_anti")
+
+
+def near_groups(df: DataFrame, key: str, min_m: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """``df`` with ``near_group``: the smallest key of the rows chained by steps of less than ``min_m``."""
+    pairs = _close_pairs(df, key, min_m, lat, lon)
+    groups = graph.components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", key)
+    return df.join(groups, key, "left").withColumn("near_group", F.coalesce("component", key)).drop("component")
+
+
 def dedup_higher(df: DataFrame, group: list[str], order: list[str], min_m: float, height: str = "elev_m") -> DataFrame:
     """Per group, first-fit within ``min_m``: a higher newcomer takes the place of the kept row it is near.
 
@@ -120,3 +166,29 @@ def thin_along(df: DataFrame, group: list[str], order: str, min_m: float, keep_l
         return pdf.iloc[out]
 
     return df.groupBy(*group).applyInPandas(run, df.schema)
+
+
+def gentler(a, b) -> bool:
+    """Whether walk ``a`` (slope, gain, loss, len_m, paved) is better than ``b``; not transitive."""
+    if a.paved != b.paved:
+        on, off = (a, b) if a.paved else (b, a)
+        if on.slope <= off.slope + 2 and on.len_m <= off.len_m * 1.25 + 80:
+            return bool(a.paved)
+    for x, y, slack in ((a.slope, b.slope, 0.5), (a.gain, b.gain, 2.0), (a.loss, b.loss, 2.0)):
+        if abs(x - y) > slack:
+            return x < y
+    return a.len_m < b.len_m
+
+
+def fold_hikes(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Per group, the walk left when each in order replaces the best so far if it is ``gentler``."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = list(pdf.sort_values(order, kind="stable").itertuples())
+        best = rows[0]
+        for x in rows[1:]:
+            if gentler(x, best):
+                best = x
+        return pdf.loc[[best.Index]]
+
+    return df.groupBy(*group).applyInPandas(run, df.schema)

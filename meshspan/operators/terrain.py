@@ -1,9 +1,9 @@
 """Elevation sampling, profiles and link evaluation over terrain.
 
-Terrain is a table of scanlines (tile_lat, tile_lon, n, iy, elev), row 0 north.
-A sample needs two neighbouring scanlines of its tile, an equi-join on
-(tile, iy); links explode to samples only after range and free-space loss have
-let them through.
+Terrain comes as scanlines (tile_lat, tile_lon, n, iy, elev), row 0 north, and is
+laid out in square blocks that overlap by one row and column.  A sample needs one
+block, an equi-join on its tile and block; links explode to samples only after
+range and free-space loss have let them through, once for both directions.
 """
 
 from __future__ import annotations
@@ -26,45 +26,90 @@ def bilinear(z00, z10, z01, z11, tx, ty) -> Column:
     return top * (1 - ty) + bottom * ty
 
 
-def sample(points: DataFrame, dem: DataFrame, lat: str = "lat", lon: str = "lon", out: str = "elev_m") -> DataFrame:
-    """``points`` with bilinear elevation; 0 where the tile is missing or the point is on its last row or column."""
-    dims = dem.groupBy("tile_lat", "tile_lon").agg(F.first("n").alias("__n"))
+BLOCK = 60
+
+
+def blocks(dem: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Square blocks (tile_lat, tile_lon, n, by, bx, w, z) of scanlines: rows and columns of ``size`` steps and one more, row by row in z."""
+    last = F.floor((F.col("n") - 2) / size)
+    rows = dem.withColumn("by", F.explode(F.filter(F.array(F.floor(F.col("iy") / size), F.floor((F.col("iy") - 1) / size)), lambda b: (b >= 0) & (b <= last))))
+    rows = rows.filter(F.col("iy").between(F.col("by") * size, F.col("by") * size + size)).distinct()
+    cut = rows.withColumn("bx", F.explode(F.sequence(F.lit(0), last.cast("int")))).withColumn("part", F.slice("elev", F.col("bx") * size + 1, size + 1))
+    got = cut.groupBy("tile_lat", "tile_lon", "n", F.col("by").cast("int").alias("by"), "bx").agg(F.array_sort(F.collect_list(F.struct("iy", "part"))).alias("r"))
+    return got.select("tile_lat", "tile_lon", "n", "by", "bx", F.size(F.col("r")[0]["part"]).alias("w"), F.flatten(F.transform("r", lambda x: x["part"])).alias("z"))
+
+
+def sample(points: DataFrame, dem: DataFrame, lat: str = "lat", lon: str = "lon", out: str = "elev_m", size: int = BLOCK) -> DataFrame:
+    """``points`` with bilinear elevation from scanlines; 0 where the tile is missing."""
+    return sample_blocks(points, blocks(dem, size), lat, lon, out, size)
+
+
+def sample_blocks(points: DataFrame, terrain: DataFrame, lat: str = "lat", lon: str = "lon", out: str = "elev_m", size: int = BLOCK) -> DataFrame:
+    """``points`` with bilinear elevation from ``blocks``; 0 where the tile is missing or the point is on its last row or column."""
+    dims = terrain.select("tile_lat", "tile_lon", F.col("n").alias("__n")).distinct()
     p = points.withColumn("tile_lat", F.floor(lat).cast("int")).withColumn("tile_lon", F.floor(lon).cast("int"))
     p = p.join(dims, ["tile_lat", "tile_lon"], "left")
     fx, fy = (F.col(lon) - F.col("tile_lon")) * (F.col("__n") - 1), (F.col("tile_lat") + 1 - F.col(lat)) * (F.col("__n") - 1)
-    p = p.withColumn("__fx", fx).withColumn("__fy", fy).withColumn("__x", F.floor("__fx").cast("int")).withColumn("__y", F.floor("__fy").cast("int"))
-    rows = [dem.select("tile_lat", "tile_lon", (F.col("iy") - k).alias("__y"), F.col("elev").alias(f"__e{k}")) for k in (0, 1)]
-    for r in rows:
-        p = p.join(r, ["tile_lat", "tile_lon", "__y"], "left")
-    at = lambda k, dx: clean(F.try_element_at(f"__e{k}", F.col("__x") + 1 + dx))
+    p = p.withColumn("__fx", fx).withColumn("__fy", fy)
+    p = p.withColumn("__x", F.floor("__fx").cast("int")).withColumn("__y", F.floor("__fy").cast("int"))
+    p = p.withColumn("by", F.floor(F.col("__y") / size).cast("int")).withColumn("bx", F.floor(F.col("__x") / size).cast("int"))
+    p = p.join(terrain.select("tile_lat", "tile_lon", "by", "bx", F.col("w").alias("__w"), F.col("z").alias("__z")), ["tile_lat", "tile_lon", "by", "bx"], "left")
+    first = (F.col("__y") - F.col("by") * size) * F.col("__w") + F.col("__x") - F.col("bx") * size + 1
+    at = lambda dy, dx: clean(F.try_element_at("__z", (first + dy * F.col("__w") + dx).cast("int")))
     tx, ty = F.col("__fx") - F.col("__x"), F.col("__fy") - F.col("__y")
-    inside = F.col("__e0").isNotNull() & F.col("__e1").isNotNull() & (F.col("__x") + 1 < F.col("__n"))
+    inside = F.col("__z").isNotNull() & (F.col("__x") + 1 < F.col("__n")) & (F.col("__y") + 1 < F.col("__n"))
     z = F.when(inside, bilinear(at(0, 0), at(0, 1), at(1, 0), at(1, 1), tx, ty)).otherwise(F.lit(0.0))
     return p.withColumn(out, z).select(*points.columns, out)
 
 
-def evaluate(links: DataFrame, sampler, link: dict, step_m: Column, keep: list[str]) -> DataFrame:
-    """Directed links (tx_lat, tx_lon, tx_h, rx_lat, rx_lon, rx_h, dist_m) with received power and margin.
+def evaluate_pairs(pairs: DataFrame, sampler, link: dict, step_m: Column, keep: list[str], heights=("a_height_m", "b_height_m"), receivers=None) -> DataFrame:
+    """Both directions of every pair (a_lat, a_lon, b_lat, b_lon, dist_m, heights): ``keep``, dist_m, fspl, forward, reverse.
 
     ``sampler(df, lat, lon, out)`` adds elevations; ``link`` has eirp_chain,
-    threshold_dbm, freq_mhz, fresnel, clutter, max_range_m.  Margin is null where
-    the link does not decode.
+    threshold_dbm, freq_mhz, fresnel, clutter, max_range_m; ``receivers`` are the
+    height columns of the receiving ends where they differ.  A margin is null
+    where its direction does not decode.  The ground between two sites is sampled
+    once: a direction reads the samples of the other from their far end.
     """
     d, f = F.col("dist_m"), float(link["freq_mhz"])
-    base = links.filter(d <= link["max_range_m"]).withColumn("fspl", F.when(d < 2, 0.0).otherwise(rf.fspl_db(d, f)))
-    base = base.filter(link["eirp_chain"] - F.col("fspl") >= link["threshold_dbm"])
-    base = sampler(sampler(base, "tx_lat", "tx_lon", "__ztx"), "rx_lat", "rx_lon", "__zrx")
-    base = base.withColumn("__steps", rf.profile_steps(d, step_m)).withColumn("__bearing", geo.bearing_rad("tx_lat", "tx_lon", "rx_lat", "rx_lon"))
-    cols = [*keep, "dist_m", "fspl"]
-    prof = base.withColumn("__i", F.explode_outer(F.when(F.col("__steps") >= 2, F.sequence(F.lit(1), F.col("__steps") - 1))))
+    up = lambda c: F.greatest(F.col(c), F.lit(1.0))
+    rx = receivers or heights
+    base = pairs.withColumn("fspl", F.when(d < 2, 0.0).otherwise(rf.fspl_db(d, f)))
+    base = base.withColumn("__open", (d <= link["max_range_m"]) & (link["eirp_chain"] - F.col("fspl") >= link["threshold_dbm"]))
+    base = sampler(sampler(base, "a_lat", "a_lon", "__za"), "b_lat", "b_lon", "__zb")
+    base = base.withColumn("__steps", rf.profile_steps(d, step_m)).withColumn("__bearing", geo.bearing_rad("a_lat", "a_lon", "b_lat", "b_lon"))
+    prof = base.withColumn("__i", F.explode_outer(F.when(F.col("__open") & (F.col("__steps") >= 2), F.sequence(F.lit(1), F.col("__steps") - 1))))
     prof = prof.withColumn("__s", F.col("__i").cast("double") / F.col("__steps") * d)
-    la, lo = geo.destination("tx_lat", "tx_lon", "__bearing", "__s")
+    la, lo = geo.destination("a_lat", "a_lon", "__bearing", "__s")
     prof = sampler(prof.withColumn("__la", la).withColumn("__lo", lo), "__la", "__lo", "__terr")
-    nu = rf.diffraction_nu("__s", d, F.col("__terr") + link["clutter"], F.col("__ztx") + F.col("tx_h"), F.col("__zrx") + F.col("rx_h"), f, link["fresnel"])
-    out = prof.groupBy(*cols).agg(F.max(nu).alias("nu"))
-    loss = F.coalesce(rf.knife_edge_db("nu"), F.lit(0.0))
-    pr = link["eirp_chain"] - F.col("fspl") - loss
-    return out.withColumn("excess_db", loss).withColumn("pr_dbm", pr).withColumn("margin_db", F.when(pr >= link["threshold_dbm"], pr - link["threshold_dbm"])).drop("nu")
+    ground = F.col("__terr") + link["clutter"]
+    out = rf.diffraction_nu("__s", d, ground, F.col("__za") + up(heights[0]), F.col("__zb") + up(rx[1]), f, link["fresnel"])
+    back = rf.diffraction_nu(d - F.col("__s"), d, ground, F.col("__zb") + up(heights[1]), F.col("__za") + up(rx[0]), f, link["fresnel"])
+    got = prof.groupBy(*keep, "dist_m", "fspl", "__open").agg(F.max(out).alias("__out"), F.max(back).alias("__back"))
+
+    def margin(nu: str) -> Column:
+        pr = link["eirp_chain"] - F.col("fspl") - F.coalesce(rf.knife_edge_db(nu), F.lit(0.0))
+        return F.when(F.col("__open") & (pr >= link["threshold_dbm"]), pr - link["threshold_dbm"])
+
+    return got.withColumn("forward", margin("__out")).withColumn("reverse", margin("__back")).drop("__out", "__back", "__open")
+
+
+def evaluate(links: DataFrame, sampler, link: dict, step_m: Column, keep: list[str]) -> DataFrame:
+    """Directed links (tx_lat, tx_lon, tx_h, rx_lat, rx_lon, rx_h, dist_m): those in range with margin_db, null where they do not decode."""
+    pairs = links.select(*keep, "dist_m", F.col("tx_lat").alias("a_lat"), F.col("tx_lon").alias("a_lon"), F.col("rx_lat").alias("b_lat"), F.col("rx_lon").alias("b_lon"), F.col("tx_h").alias("a_height_m"), F.col("rx_h").alias("b_height_m"))
+    out = evaluate_pairs(pairs.filter(F.col("dist_m") <= link["max_range_m"]), sampler, link, step_m, keep)
+    return out.filter(link["eirp_chain"] - F.col("fspl") >= link["threshold_dbm"]).withColumn("margin_db", F.col("forward")).drop("forward", "reverse")
+
+
+def ring_snap(points: DataFrame, sampler, key: str, radius_m: float, step_m: float) -> DataFrame:
+    """(key, lat, lon, elev_m): the highest ground above sea level of each point and of rings around it, 8 k samples on the k-th."""
+    step = max(step_m, 15.0)
+    ways = [(0, 0.0)] + [(ring, 360.0 * i / (8 * ring)) for ring in range(1, int(radius_m // step) + 1) for i in range(8 * ring)]
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k * step).alias("d"), F.lit(b).alias("b")) for i, (k, b) in enumerate(ways)]))
+    p = points.select(key, "lat", "lon").withColumn("w", at)
+    la, lo = geo.destination("lat", "lon", F.radians("w.b"), F.col("w.d"), geo.R_GROUND)
+    s = sampler(p.select(key, F.col("w.i").alias("i"), la.alias("lat"), lo.alias("lon")), "lat", "lon", "elev_m").filter("elev_m > 0")
+    return s.groupBy(key).agg(F.min(F.struct((-F.col("elev_m")).alias("k"), "i", "lat", "lon")).alias("m")).select(key, "m.lat", "m.lon", (-F.col("m.k")).alias("elev_m"))
 
 
 def local_maxima(cells: DataFrame, least_drop: float = 20.0) -> DataFrame:

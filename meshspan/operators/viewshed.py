@@ -1,8 +1,9 @@
 """Coverage rasters over terrain.
 
-Each site's terrain is sampled along rays by the terrain joins; a numpy kernel a
-site then evaluates every pixel against the interpolated ray profile.  A site's
-rays are at most max(4 w, 720) x steps floats, whatever the number of sites.
+Each site is joined to the few terrain blocks around it; a numpy kernel a site
+samples them along rays and evaluates every pixel against the interpolated ray
+profile.  A site's rays are at most max(4 w, 720) x steps floats, whatever the
+number of sites.
 """
 
 from __future__ import annotations
@@ -14,18 +15,98 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions.geo import R_GROUND, R_RADIO
 from ..functions.rf import EFFECTIVE_EARTH_M, LIGHT_M_S
+from .terrain import BLOCK, VOID
 
 
-def rays(sites: DataFrame, sampler, radius_m: float, width: int) -> DataFrame:
-    """(slug, ray, terrain array) of evenly spread rays, samples at every step from the site outwards."""
-    n, steps = max(4 * width, 720), max(math.ceil(width / 1.0), 40)
-    r = sites.withColumn("ray", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps))))
-    la, lo = geo.destination("lat", "lon", F.col("ray").cast("double") * (2 * math.pi / n), F.col("step").cast("double") * (radius_m / steps))
-    s = sampler(r.withColumn("__la", la).withColumn("__lo", lo), "__la", "__lo", "z")
-    keep = [c for c in sites.columns]
-    return s.groupBy(*keep, "ray").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", F.col("z").cast("float").alias("z")))), lambda x: x["z"]).alias("terrain"))
+def ground(blocks: list[dict], size: int):
+    """A function of (lat, lon) arrays: bilinear elevation from terrain blocks, 0 beyond them."""
+
+    def at(la: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        out = np.zeros(la.shape)
+        tile_la, tile_lo = np.floor(la), np.floor(lo)
+        for b in blocks:
+            n, w = b["n"], b["w"]
+            fx, fy = (lo - tile_lo) * (n - 1), (tile_la + 1 - la) * (n - 1)
+            x, y = np.floor(fx).astype(int), np.floor(fy).astype(int)
+            on = (tile_la == b["tile_lat"]) & (tile_lo == b["tile_lon"]) & (x // size == b["bx"]) & (y // size == b["by"]) & (x + 1 < n) & (y + 1 < n)
+            if not on.any():
+                continue
+            z = np.asarray(b["z"], float)
+            z = np.where((z == VOID) | (z < -12000), 0.0, z)
+            first = (y[on] - b["by"] * size) * w + x[on] - b["bx"] * size
+            tx, ty = fx[on] - x[on], fy[on] - y[on]
+            top = z[first] * (1 - tx) + z[first + 1] * tx
+            out[on] = top * (1 - ty) + (z[first + w] * (1 - tx) + z[first + w + 1] * tx) * ty
+        return out
+
+    return at
+
+
+def meet_blocks(sites: DataFrame, blocks: DataFrame, radius_m: float, size: int = BLOCK) -> DataFrame:
+    """``sites`` (with lat, lon) joined to the terrain blocks that the box of their radius touches; sites without any keep a row."""
+    half = radius_m / R_RADIO * 180 / math.pi * 1.01
+    wide = half / F.greatest(F.cos(F.radians(F.abs("lat") + half)), F.lit(0.01))
+    span = lambda c, d: F.explode(F.sequence(F.floor(F.col(c) - d).cast("int"), F.floor(F.col(c) + d).cast("int")))
+    s = sites.withColumn("tile_lat", span("lat", F.lit(half))).withColumn("tile_lon", span("lon", wide))
+    steps = (F.col("n") - 1) / size
+    edge = lambda c, t, d: (F.col(c) + d - F.col(t)) * steps
+    touched = (F.floor(edge("lon", "tile_lon", -wide)) <= F.col("bx")) & (F.col("bx") <= F.floor(edge("lon", "tile_lon", wide)))
+    touched &= (F.floor(steps - edge("lat", "tile_lat", half)) <= F.col("by")) & (F.col("by") <= F.floor(steps - edge("lat", "tile_lat", -half)))
+    met = s.join(blocks, ["tile_lat", "tile_lon"]).filter(touched)
+    return met.unionByName(sites, allowMissingColumns=True)
+
+
+def climb(points: DataFrame, blocks: DataFrame, key: str, radius_m: float, step_m: float, size: int = BLOCK) -> DataFrame:
+    """(key, lat, lon, elev_m): where walking uphill from each point ends, in steps to the highest of eight neighbours, inside the radius.
+
+    ``key`` is a unique string.  Points without ground above sea level are absent.
+    """
+    step = max(step_m, 10.0)
+    schema = pa.schema([("key", pa.string()), ("lat", pa.float64()), ("lon", pa.float64()), ("elev_m", pa.float64())])
+
+    def metres(a, b, la, lo):
+        p, q = np.radians(a), np.radians(la)
+        h = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(lo - b) / 2) ** 2
+        return 2 * R_GROUND * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
+
+    def run(table: pa.Table) -> pa.Table:
+        first = lambda c: table.column(c)[0].as_py()
+        held = [b for b in table.select(["tile_lat", "tile_lon", "n", "by", "bx", "w", "z"]).to_pylist() if b["z"] is not None]
+        sample = ground(held, size)
+        lat0, lon0 = first("lat"), first("lon")
+        lat, lon = lat0, lon0
+        e = float(sample(np.array([lat]), np.array([lon]))[0])
+        if e <= 0:
+            return schema.empty_table()
+        t = np.radians(45.0 * np.arange(8))
+        d = step / R_GROUND
+        for _ in range(max(4 * math.ceil(radius_m / step), 16)):
+            p = math.radians(lat)
+            p2 = np.arcsin(math.sin(p) * math.cos(d) + math.cos(p) * math.sin(d) * np.cos(t))
+            lo = lon + np.degrees(np.arctan2(np.sin(t) * math.sin(d) * math.cos(p), math.cos(d) - math.sin(p) * np.sin(p2)))
+            la = np.degrees(p2)
+            z = np.where(metres(lat0, lon0, la, lo) <= radius_m + 1, sample(la, lo), -1.0)
+            i = int(z.argmax())
+            if z[i] <= e + 1e-3:
+                break
+            lat, lon, e = float(la[i]), float(lo[i]), float(z[i])
+        return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip((first("key"), lat, lon, e), schema)], schema=schema)
+
+    met = meet_blocks(points.select(F.col(key).alias("key"), "lat", "lon"), blocks, radius_m, size)
+    return met.groupBy("key").applyInArrow(run, "key string, lat double, lon double, elev_m double").withColumnRenamed("key", key)
+
+
+def ray_profiles(lat: float, lon: float, sample, radius_m: float, width: int) -> np.ndarray:
+    """Elevations along evenly spread rays, a row a ray, from the site outwards."""
+    n, steps = max(4 * width, 720), max(width, 40)
+    b = (np.arange(n) * (2 * math.pi / n))[:, None]
+    s = (np.arange(steps + 1) * (radius_m / steps) / R_RADIO)[None, :]
+    p1 = math.radians(lat)
+    p2 = np.arcsin(math.sin(p1) * np.cos(s) + math.cos(p1) * np.sin(s) * np.cos(b))
+    lo = math.radians(lon) + np.arctan2(np.sin(b) * np.sin(s) * math.cos(p1), np.cos(s) - math.sin(p1) * np.sin(p2))
+    return sample(np.degrees(p2), np.degrees(lo)).astype(np.float32)
 
 
 def levels(terr: np.ndarray, lat: float, radius_m: float, width: int, height: float, link: dict) -> np.ndarray:
@@ -70,20 +151,24 @@ def levels(terr: np.ndarray, lat: float, radius_m: float, width: int, height: fl
     return out
 
 
-def coverage(sites: DataFrame, sampler, link: dict, radius_m: float, width: int) -> DataFrame:
-    """Covered pixels (slug, x, y, pr_dbm) of each site's raster; sites have slug, lat, lon, height_m."""
+def coverage(sites: DataFrame, blocks: DataFrame, link: dict, radius_m: float, width: int, size: int = BLOCK) -> DataFrame:
+    """Covered pixels (slug, x, y, pr_dbm) of each site's raster; sites have slug, lat, lon, height_m.
+
+    A site meets the terrain blocks that its box touches, and its task does the
+    rest on arrays; no sample is ever a row.
+    """
     schema = pa.schema([("slug", pa.string()), ("x", pa.int32()), ("y", pa.int32()), ("pr_dbm", pa.float64())])
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("ray")
-        terr = np.stack([np.asarray(t, np.float32) for t in table.column("terrain").to_pylist()])
         first = lambda c: table.column(c)[0].as_py()
+        held = [b for b in table.select(["tile_lat", "tile_lon", "n", "by", "bx", "w", "z"]).to_pylist() if b["z"] is not None]
+        terr = ray_profiles(first("lat"), first("lon"), ground(held, size), radius_m, width)
         pr = levels(terr, first("lat"), radius_m, width, max(1.0, first("height_m")), link)
         y, x = np.nonzero(~np.isnan(pr))
         return pa.Table.from_arrays([pa.array([first("slug")] * len(x)), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(pr[y, x])], schema=schema)
 
-    src = rays(sites.select("slug", "lat", "lon", "height_m"), sampler, radius_m, width)
-    return src.groupBy("slug").applyInArrow(run, "slug string, x int, y int, pr_dbm double")
+    met = meet_blocks(sites.select("slug", "lat", "lon", "height_m"), blocks, radius_m, size)
+    return met.groupBy("slug").applyInArrow(run, "slug string, x int, y int, pr_dbm double")
 
 
 def union_gain(covered: DataFrame, chains: DataFrame) -> DataFrame:

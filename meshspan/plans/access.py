@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo as g
 from ..functions import roads as rd_
 from ..operators import grid_join
-from ..sources.derived import duck_height, formula_sampler, relation
+from ..sources.derived import duck_height, relation, tile_sampler
 from .geodesy import _hav, r, rd
 from .registry import query
 
@@ -99,7 +99,7 @@ HIKE = f"WITH w AS (SELECT route, ord, lat, lon, {duck_height('lat', 'lon')} AS
 def hike_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Legs between waypoints over terrain: horizontal and vertical metres, grade in percent, slope length; half-metre legs left out."""
     w = Window.partitionBy("route").orderBy("ord")
-    p = formula_sampler(relation(spark, sf_dir, "waypoints"), "lat", "lon", "z")
+    p = tile_sampler(spark)(relation(spark, sf_dir, "waypoints"), "lat", "lon", "z")
     for c in ("lat", "lon", "z"):
         p = p.withColumn(f"{c}2", F.lead(c).over(w))
     p = p.filter("lat2 is not null").withColumn("h", g.haversine_m("lat", "lon", "lat2", "lon2", g.R_GROUND)).withColumn("v", F.col("z2") - F.col("z")).filter("h > 0.5")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo as g
 from ..functions import rf
-from ..operators import grid_join, terrain
-from ..sources.derived import duck_height, formula_sampler, relation
+from ..operators import grid_join, solver, terrain
+from ..sources.derived import duck_height, relation, tile_sampler
 from .geodesy import _hav, r, rd
 from .registry import query
 
@@ -65,12 +65,8 @@ def mesh_free_space(spark, sf_dir):
 
 def mesh(spark: SparkSession, sf_dir: str, hop_m: float = 15_000.0) -> DataFrame:
     """Margins of both directions for all site pairs within the hop: a, b, dist_m, forward, reverse."""
-    p = site_pairs(spark, sf_dir, hop_m)
-    one = lambda h: F.greatest(F.col(h), F.lit(1.0))
-    way = lambda x, y, d: p.select(F.col("a_slug").alias("a"), F.col("b_slug").alias("b"), F.lit(d).alias("way"), "dist_m", *[F.col(f"{s}_{c}").alias(f"{t}_{c}") for s, t in ((x, "tx"), (y, "rx")) for c in ("lat", "lon")], one(f"{x}_height_m").alias("tx_h"), one(f"{y}_height_m").alias("rx_h"))
-    legs = terrain.evaluate(way("a", "b", 0).union(way("b", "a", 1)), formula_sampler, LINK, F.lit(STEP_M), ["a", "b", "way"])
-    m = legs.groupBy("a", "b").agg(F.max(F.when(F.col("way") == 0, F.col("margin_db"))).alias("forward"), F.max(F.when(F.col("way") == 1, F.col("margin_db"))).alias("reverse"))
-    return p.select(F.col("a_slug").alias("a"), F.col("b_slug").alias("b"), "dist_m").join(m, ["a", "b"], "left")
+    p = site_pairs(spark, sf_dir, hop_m).withColumnsRenamed({"a_slug": "a", "b_slug": "b"})
+    return terrain.evaluate_pairs(p, tile_sampler(spark), LINK, F.lit(STEP_M), ["a", "b"]).select("a", "b", "dist_m", "forward", "reverse")
 
 
 def mesh_sql(hop: float) -> str:
@@ -135,10 +131,10 @@ def free_margin(d) -> F.Column:
     return r(F.lit(FREE) - rf.fspl_db(d, F.lit(911.525)))
 
 
-@query(f"WITH ab AS (SELECT a.slug AS a, b.slug AS b, a.lat AS la, a.lon AS lo, b.lat AS lb, b.lon AS lob FROM {{sites}} a JOIN {{sites}} b ON b.k = a.k + 5 WHERE a.k % 10 = 1), c AS (SELECT ab.*, p.slug AS peak, {_hav('la', 'lo', 'p.lat', 'p.lon', '6378137.0::DOUBLE')} AS da, {_hav('lb', 'lob', 'p.lat', 'p.lon', '6378137.0::DOUBLE')} AS db, ((p.lat - la) * 111000 * (lb - la) * 111000 + (p.lon - lo) * cos(radians((la + lb) / 2)) * 111000 * (lob - lo) * cos(radians((la + lb) / 2)) * 111000) / (pow((lob - lo) * cos(radians((la + lb) / 2)) * 111000, 2) + pow((lb - la) * 111000, 2)) AS t FROM ab JOIN {{peaks}} p ON p.eligible), m AS (SELECT a, b, peak, {_free('da')} AS ma, {_free('db')} AS mb, {rd('t', 6)} AS t FROM c WHERE {rd('da', 3)} <= 60001 AND {rd('db', 3)} <= 60001), v AS (SELECT *, ma >= 4 AND mb >= 4 AS viable FROM m), w AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY viable DESC, CASE WHEN viable THEN least(ma, mb) END DESC NULLS LAST, abs(ma - mb), abs(t - 0.5), peak) AS rank FROM v) SELECT a, b, peak, ma AS margin_a, mb AS margin_b, t, viable, rank FROM w WHERE rank <= 5")
+@query(f"WITH ab AS (SELECT a.slug AS a, b.slug AS b, a.lat AS la, a.lon AS lo, b.lat AS lb, b.lon AS lob FROM {{sites}} a JOIN {{sites}} b ON b.k = a.k + 5), c AS (SELECT ab.*, p.slug AS peak, {_hav('la', 'lo', 'p.lat', 'p.lon', '6378137.0::DOUBLE')} AS da, {_hav('lb', 'lob', 'p.lat', 'p.lon', '6378137.0::DOUBLE')} AS db, ((p.lat - la) * 111000 * (lb - la) * 111000 + (p.lon - lo) * cos(radians((la + lb) / 2)) * 111000 * (lob - lo) * cos(radians((la + lb) / 2)) * 111000) / (pow((lob - lo) * cos(radians((la + lb) / 2)) * 111000, 2) + pow((lb - la) * 111000, 2)) AS t FROM ab JOIN {{peaks}} p ON p.eligible), m AS (SELECT a, b, peak, {_free('da')} AS ma, {_free('db')} AS mb, {rd('t', 6)} AS t FROM c WHERE {rd('da', 3)} <= 60001 AND {rd('db', 3)} <= 60001), v AS (SELECT *, ma >= 4 AND mb >= 4 AS viable FROM m), w AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY viable DESC, CASE WHEN viable THEN least(ma, mb) END DESC NULLS LAST, abs(ma - mb), abs(t - 0.5), peak) AS rank FROM v) SELECT a, b, peak, ma AS margin_a, mb AS margin_b, t, viable, rank FROM w WHERE rank <= 5")
 def fortify_candidates(spark, sf_dir):
     s = relation(spark, sf_dir, "sites")
-    a = s.filter("k % 10 = 1").select("k", F.col("slug").alias("a"), F.col("lat").alias("la"), F.col("lon").alias("lo"))
+    a = s.select("k", F.col("slug").alias("a"), F.col("lat").alias("la"), F.col("lon").alias("lo"))
     ab = a.join(s.select((F.col("k") - 5).alias("k"), F.col("slug").alias("b"), F.col("lat").alias("lb"), F.col("lon").alias("lob")), "k").drop("k")
     p = relation(spark, sf_dir, "peaks").filter("eligible").select(F.col("slug").alias("peak"), F.col("lat").alias("pl"), F.col("lon").alias("po"))
     c = grid_join.within(p, ab, 60_000.0, ("pl", "po"), ("la", "lo"), "da", slack_m=2.0).withColumn("db", g.haversine_m("pl", "po", "lb", "lob"))
@@ -153,25 +149,24 @@ def fortify_candidates(spark, sf_dir):
 EDGE = f"edge AS (SELECT a, b, d FROM pair WHERE {_free('d')} >= 24)"
 
 
-@query(f"WITH RECURSIVE {pairs_sql(12000)}, {EDGE}, arc AS (SELECT a AS x, b AS y, d FROM edge UNION ALL SELECT b, a, d FROM edge), src AS (SELECT slug FROM {{sites}} WHERE k % 50 = 1), walk AS (SELECT slug AS s, slug AS tip, [slug] AS path, 0.0::DOUBLE AS d, 0 AS hops FROM src UNION ALL SELECT s, y, list_append(path, y), w.d + arc.d, hops + 1 FROM walk w JOIN arc ON arc.x = w.tip WHERE hops < 3 AND NOT list_contains(path, y)) SELECT s AS source, tip AS target, CAST(hops AS BIGINT) AS hops, count(*) AS routes, {rd('min(d) / 1000', 3)} AS best_km FROM walk WHERE hops >= 1 GROUP BY s, tip, hops")
+@query(f"WITH RECURSIVE {pairs_sql(12000)}, {EDGE}, arc AS (SELECT a AS x, b AS y, d FROM edge UNION ALL SELECT b, a, d FROM edge), want AS (SELECT a.slug AS a, b.slug AS b FROM {{sites}} a JOIN {{sites}} b ON b.k = a.k + 5), walk AS (SELECT a, b, a AS tip, [a] AS path, 0.0::DOUBLE AS d, 0 AS hops FROM want UNION ALL SELECT w.a, w.b, y, list_append(path, y), w.d + arc.d, hops + 1 FROM walk w JOIN arc ON arc.x = w.tip WHERE hops < 4 AND tip <> b AND NOT list_contains(path, y)), hit AS (SELECT a, b, hops, count(*) AS n, min(d) AS d FROM walk WHERE tip = b GROUP BY 1, 2, 3), least AS (SELECT a, b, min(hops) AS hops FROM hit GROUP BY 1, 2) SELECT a, b, CAST(hops AS INTEGER) AS hops, n AS routes, least(n, 500) AS listed, {rd('d / 1000', 3)} AS best_km FROM hit JOIN least USING (a, b, hops)")
 def solver_routes(spark, sf_dir):
+    """For each wanted pair of sites the routes of the fewest hops, four at most, counted, with the shortest."""
     e = site_pairs(spark, sf_dir, 12_000.0)
-    e = e.filter(free_margin("dist_m") >= 24).select("a_slug", "b_slug", "dist_m")
-    arcs = e.select(F.col("a_slug").alias("x"), F.col("b_slug").alias("y"), "dist_m").union(e.select("b_slug", "a_slug", "dist_m"))
-    walk = relation(spark, sf_dir, "sites").filter("k % 50 = 1").select(F.col("slug").alias("source"), F.col("slug").alias("target"), F.array("slug").alias("path"), F.lit(0.0).alias("d"))
-    out = None
-    for hops in (1, 2, 3):
-        walk = walk.join(arcs, walk.target == arcs.x).filter(~F.array_contains("path", F.col("y")))
-        walk = walk.select("source", F.col("y").alias("target"), F.array_append("path", F.col("y")).alias("path"), (F.col("d") + F.col("dist_m")).alias("d"))
-        one = walk.groupBy("source", "target").agg(F.count("*").alias("routes"), r(F.min("d") / 1000).alias("best_km")).withColumn("hops", F.lit(hops).cast("long"))
-        out = one if out is None else out.union(one)
-    return out
-
-
-@query(f"SELECT a.slug AS a, p.slug AS peak, {rd(_hav('a.lat', 'a.lon', 'p.lat', 'p.lon', '6378137.0::DOUBLE') + ' + ' + _hav('p.lat', 'p.lon', 'b.lat', 'b.lon', '6378137.0::DOUBLE'), 1)} AS via_m FROM {{sites}} a JOIN {{sites}} b ON b.k = a.k + 5 JOIN {{peaks}} p ON p.eligible WHERE a.k % 10 = 3 AND {rd(_hav('a.lat', 'a.lon', 'p.lat', 'p.lon', '6378137.0::DOUBLE') + ' + ' + _hav('p.lat', 'p.lon', 'b.lat', 'b.lon', '6378137.0::DOUBLE'), 1)} <= 4 * 15000 + 1 AND p.slug <> a.slug")
+    e = e.filter(free_margin("dist_m") >= 24)
+    ends = lambda x, y: e.select(*[F.col(f"{s}_{c}").alias(f"{t}_{c}") for s, t in ((x, "x"), (y, "y")) for c in ("slug", "lat", "lon")], F.col("dist_m").alias("w"))
+    arcs = ends("a", "b").union(ends("b", "a"))
+    s = relation(spark, sf_dir, "sites").select("k", "slug", "lat", "lon")
+    near, far = ([F.col(c).alias(f"{t}{c}") for c in ("slug", "lat", "lon")] for t in ("a_", "b_"))
+    want = s.select("k", *near).join(s.select((F.col("k") - 5).alias("k"), *far), "k").drop("k")
+    out = solver.fewest_hops(want, arcs, 12_000.0, 4)
+    return out.select(F.col("a_slug").alias("a"), F.col("b_slug").alias("b"), "hops", "routes", F.least(F.col("routes"), F.lit(500)).alias("listed"), r(F.col("best_m") / 1000).alias("best_km"))
+
+
+@query(f"SELECT a.slug AS a, p.slug AS peak, {rd(_hav('a.lat', 'a.lon', 'p.lat', 'p.lon', '6378137.0::DOUBLE') + ' + ' + _hav('p.lat', 'p.lon', 'b.lat', 'b.lon', '6378137.0::DOUBLE'), 1)} AS via_m FROM {{sites}} a JOIN {{sites}} b ON b.k = a.k + 5 JOIN {{peaks}} p ON p.eligible WHERE {rd(_hav('a.lat', 'a.lon', 'p.lat', 'p.lon', '6378137.0::DOUBLE') + ' + ' + _hav('p.lat', 'p.lon', 'b.lat', 'b.lon', '6378137.0::DOUBLE'), 1)} <= 4 * 15000 + 1 AND p.slug <> a.slug")
 def solver_ellipse(spark, sf_dir):
     s = relation(spark, sf_dir, "sites")
-    ab = s.filter("k % 10 = 3").select((F.col("k") + 5).alias("k"), F.col("slug").alias("a"), F.col("lat").alias("la"), F.col("lon").alias("lo")).join(s.select("k", F.col("lat").alias("lb"), F.col("lon").alias("lob")), "k")
+    ab = s.select((F.col("k") + 5).alias("k"), F.col("slug").alias("a"), F.col("lat").alias("la"), F.col("lon").alias("lo")).join(s.select("k", F.col("lat").alias("lb"), F.col("lon").alias("lob")), "k")
     p = relation(spark, sf_dir, "peaks").filter("eligible").select(F.col("slug").alias("peak"), "lat", "lon")
     c = grid_join.within(p, ab, 60_002.0, ("lat", "lon"), ("la", "lo"), "da")
     c = c.withColumn("via_m", r(F.col("da") + g.haversine_m("lat", "lon", "lb", "lob"), 1))
@@ -187,11 +182,11 @@ def route_summary(spark, sf_dir):
     return leg.groupBy("route").agg(F.count("*").alias("hops"), r(F.sum("d") / 1000).alias("total_km"), F.min(free_margin("d")).alias("bottleneck_db"), l0.alias("l0"), F.least(l0 + 4, F.lit(8.0)).alias("l_max"))
 
 
-@query("WITH p AS (SELECT DISTINCT l_orderkey AS route, l_suppkey AS peak FROM lineitem WHERE l_orderkey % 20 < 2), n AS (SELECT route, count(*) AS n FROM p GROUP BY route), s AS (SELECT x.route AS a, y.route AS b, count(*) AS shared FROM p x JOIN p y ON x.peak = y.peak AND x.route < y.route GROUP BY 1, 2) SELECT a, b, shared, floor(shared / (na.n + nb.n - shared)::DOUBLE * 1000000 + 0.5) / 1000000 AS jaccard FROM s JOIN n na ON na.route = a JOIN n nb ON nb.route = b")
+@query("WITH p AS (SELECT DISTINCT l_orderkey AS route, l_partkey AS peak FROM lineitem), n AS (SELECT route, count(*) AS n FROM p GROUP BY route), s AS (SELECT x.route AS a, y.route AS b, count(*) AS shared FROM p x JOIN p y ON x.peak = y.peak AND x.route < y.route GROUP BY 1, 2) SELECT * FROM (SELECT a, b, shared, floor(shared / (na.n + nb.n - shared)::DOUBLE * 1000000 + 0.5) / 1000000 AS jaccard FROM s JOIN n na ON na.route = a JOIN n nb ON nb.route = b) WHERE jaccard >= 0.25")
 def routes_alike(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_orderkey % 20 < 2").select(F.col("l_orderkey").alias("route"), F.col("l_suppkey").alias("peak")).distinct()
+    p = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("route"), F.col("l_partkey").alias("peak")).distinct()
     n = p.groupBy("route").agg(F.count("*").alias("n"))
     q = p.join(n, "route")
     x, y = q.select(F.col("route").alias("a"), "peak", F.col("n").alias("na")), q.select(F.col("route").alias("b"), "peak", F.col("n").alias("nb"))
     s = x.join(y, "peak").filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    return s.select("a", "b", "shared", r(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")).cast("double"), 6).alias("jaccard"))
+    return s.select("a", "b", "shared", r(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")).cast("double"), 6).alias("jaccard")).filter("jaccard >= 0.25")

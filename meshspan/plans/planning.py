@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import geo as g
 from ..functions import roads as rds
 from ..functions import text as t
-from ..operators import finder, greedy, grid_join, hike, merge, viewshed
-from ..sources.derived import dem_rows, formula_sampler, relation
+from ..operators import finder, graph, greedy, grid_join, hike, merge, viewshed
+from ..sources.derived import relation, tile_blocks, tile_rows
 from .geodesy import _hav, r, rd
 from .land import IN, point_hits
 from .links import LINK, _free, free_margin
@@ -21,12 +21,12 @@ HOP = 25_000.0
 def _peer_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subjects and the peers that a replacement must keep: the sites of the next two keys that are 5 apart."""
     s = relation(spark, sf_dir, "sites")
-    me = s.filter("k % 20 = 2").select("k", F.col("slug").alias("subject"))
+    me = s.select("k", F.col("slug").alias("subject"))
     peer = s.select(F.col("k").alias("pk"), F.col("slug").alias("peer"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
     return me.withColumn("pk", F.explode(F.array(F.col("k"), F.col("k") + 5))).join(peer, "pk").select("subject", "peer", "r_lat", "r_lon")
 
 
-PEERS = "peers AS (SELECT a.slug AS subject, b.slug AS peer, b.lat, b.lon FROM {sites} a JOIN {sites} b ON b.k IN (a.k, a.k + 5) WHERE a.k % 20 = 2)"
+PEERS = "peers AS (SELECT a.slug AS subject, b.slug AS peer, b.lat, b.lon FROM {sites} a JOIN {sites} b ON b.k IN (a.k, a.k + 5))"
 C25 = f"{rd(_hav('p.lat', 'p.lon', 'q.lat', 'q.lon', '6378137.0::DOUBLE'), 2)}"
 
 
@@ -39,7 +39,12 @@ def alternates_ranked(spark, sf_dir):
     ok = c.groupBy("subject", "peak", "lat", "lon").agg(F.min("m").alias("margin"), F.count("*").alias("have")).join(need, "subject").filter("have = need")
     s = relation(spark, sf_dir, "sites").select("slug", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
     near = grid_join.within(p, s, HOP, slack_m=1.0).filter(r(F.col("dist_m"), 2) <= 25000).select("peak", "slug")
-    n = ok.join(near, "peak", "left").groupBy("subject", "peak", "margin").agg(F.count(F.when(F.col("slug") != F.col("subject"), 1)).alias("mesh_links"))
+    near = graph.cut(near)
+    # A peak's sites are counted once for all subjects; a subject in range of it is taken off.
+    count = near.groupBy("peak").agg(F.count("*").alias("all"))
+    own = near.select("peak", F.col("slug").alias("subject"), F.lit(1).alias("own"))
+    n = ok.join(count, "peak", "left").join(own, ["peak", "subject"], "left")
+    n = n.select("subject", "peak", "margin", (F.coalesce("all", F.lit(0)) - F.coalesce("own", F.lit(0))).cast("long").alias("mesh_links"))
     w = Window.partitionBy("subject").orderBy(F.desc("mesh_links"), F.desc("margin"), "peak")
     return n.withColumn("rank", F.row_number().over(w).cast("long"))
 
@@ -51,7 +56,7 @@ def alternates_diverse(spark, sf_dir):
 
 
 ROADNEAR = f"{rd(_hav('c.lat', 'c.lon', 's.lat_a', 's.lon_a', '6378137.0::DOUBLE'), 2)}"
-SEEDS = "seeds AS (SELECT slug, 'dem' AS source, lat, lon, elev_m FROM {peaks} UNION ALL SELECT slug, CASE WHEN seg IN ('BUILDING', 'SUPPLIER') THEN lower(seg) ELSE 'site' END, lat, lon, 100 * height_m FROM {sites} WHERE k % 3 = 0)"
+SEEDS = "seeds AS (SELECT slug, 'dem' AS source, lat, lon, elev_m FROM {peaks} UNION ALL SELECT slug, CASE WHEN seg IN ('BUILDING', 'SUPPLIER') THEN lower(seg) ELSE 'site' END, lat, lon, 100 * height_m FROM {sites})"
 
 
 @query(f"WITH {SEEDS}, flags AS (SELECT s.slug, bool_or(p.role = 'include') AS inc, bool_or(p.role = 'exclude') AS exc FROM seeds s JOIN {{parcels}} p ON {IN} GROUP BY 1), road AS (SELECT c.slug, min({ROADNEAR}) AS road_m FROM seeds c JOIN {{segments}} s ON abs(c.lat - s.lat_a) < 0.05 AND abs(c.lon - s.lon_a) < 0.06 WHERE {ROADNEAR} <= 4000 GROUP BY 1), v AS (SELECT s.*, coalesce(inc, false) AS inc, coalesce(exc, false) AS exc, road_m FROM seeds s LEFT JOIN flags USING (slug) LEFT JOIN road USING (slug)) SELECT slug, source, CASE WHEN source = 'dem' AND exc THEN 'denied' WHEN elev_m < 300 THEN 'low' WHEN road_m IS NULL THEN 'no_road' WHEN road_m > 1609 THEN 'hike' ELSE 'pass' END AS verdict, road_m FROM v")
@@ -62,7 +67,7 @@ def catalogue_verdicts(spark, sf_dir):
 def _seeds(spark, sf_dir):
     p = relation(spark, sf_dir, "peaks").select("slug", F.lit("dem").alias("source"), "lat", "lon", "elev_m")
     tag = F.lower("seg")
-    s = relation(spark, sf_dir, "sites").filter("k % 3 = 0").select("slug", F.when(tag.isin("building", "supplier"), tag).otherwise("site").alias("source"), "lat", "lon", (100 * F.col("height_m")).alias("elev_m"))
+    s = relation(spark, sf_dir, "sites").select("slug", F.when(tag.isin("building", "supplier"), tag).otherwise("site").alias("source"), "lat", "lon", (100 * F.col("height_m")).alias("elev_m"))
     return p.union(s)
 
 
@@ -84,23 +89,23 @@ def catalogue_seed_counts(spark, sf_dir):
 
 def catalogue_peaks(spark, sf_dir):
     """The catalogue: passing seeds, highest first, none within 250 m of a higher one, under unique slugs."""
-    v = _verdicts(spark, sf_dir).filter("verdict = 'pass'").withColumn("cell", F.floor(F.col("lat") * 2))
-    kept = greedy.spread_out(v.drop("exc", "verdict"), ["cell"], ["elev_m", "slug"], [False, True], 250.0)
+    v = _verdicts(spark, sf_dir).filter("verdict = 'pass'")
+    kept = greedy.spread_everywhere(v.drop("exc", "verdict"), "slug", [-F.col("elev_m"), F.col("slug")], 250.0)
     base = t.slug(F.concat(F.lit("Peak "), F.col("elev_m").cast("int"), F.lit("-"), "source"))
     i = F.row_number().over(Window.partitionBy("base").orderBy(F.desc("elev_m"), "slug"))
     return kept.withColumn("base", base).withColumn("place", F.when(i == 1, F.col("base")).otherwise(F.concat_ws("-", "base", i))).select("place", "slug", "source", "elev_m", "road_m")
 
 
-@query(f"WITH e AS (SELECT route AS line, ord, lat, lon FROM {{waypoints}} WHERE route % 4 = 0), l AS (SELECT lat + 0.00004::DOUBLE AS lat, lon + 0.00003::DOUBLE AS lon FROM {{waypoints}} WHERE route % 4 = 0 AND part % 3 <> 0), c AS (SELECT e.*, EXISTS (SELECT 1 FROM l WHERE l.lat BETWEEN e.lat - 0.001 AND e.lat + 0.001 AND {rd(_hav('e.lat', 'e.lon', 'l.lat', 'l.lon'), 4)} <= 18) AS covered FROM e), s AS (SELECT *, coalesce({_hav('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')}, 0) AS step, CASE WHEN lag(covered) OVER w = covered THEN 0 ELSE 1 END AS brk FROM c WINDOW w AS (PARTITION BY line ORDER BY ord)), u AS (SELECT *, sum(brk) OVER (PARTITION BY line ORDER BY ord) AS run FROM s), v AS (SELECT *, covered AND count(*) OVER g >= 2 AND sum(CASE WHEN brk = 0 THEN step ELSE 0 END) OVER g >= 36 AS cut FROM u WINDOW g AS (PARTITION BY line, run)) SELECT line, ord, covered, cut FROM v")
+@query(f"WITH e AS (SELECT route AS line, ord, lat, lon FROM {{waypoints}}), l AS (SELECT lat + 0.00004::DOUBLE AS lat, lon + 0.00003::DOUBLE AS lon FROM {{waypoints}} WHERE part % 3 <> 0), c AS (SELECT e.*, EXISTS (SELECT 1 FROM l WHERE l.lat BETWEEN e.lat - 0.001 AND e.lat + 0.001 AND {rd(_hav('e.lat', 'e.lon', 'l.lat', 'l.lon'), 4)} <= 18) AS covered FROM e), s AS (SELECT *, coalesce({_hav('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')}, 0) AS step, CASE WHEN lag(covered) OVER w = covered THEN 0 ELSE 1 END AS brk FROM c WINDOW w AS (PARTITION BY line ORDER BY ord)), u AS (SELECT *, sum(brk) OVER (PARTITION BY line ORDER BY ord) AS run FROM s), v AS (SELECT *, covered AND count(*) OVER g >= 2 AND sum(CASE WHEN brk = 0 THEN step ELSE 0 END) OVER g >= 36 AS cut FROM u WINDOW g AS (PARTITION BY line, run)) SELECT line, ord, covered, cut FROM v")
 def roads_covered(spark, sf_dir):
-    w = relation(spark, sf_dir, "waypoints").filter("route % 4 = 0")
+    w = relation(spark, sf_dir, "waypoints")
     later = w.filter("part % 3 <> 0").select((F.col("lat") + 0.00004).alias("lat"), (F.col("lon") + 0.00003).alias("lon"))
     e = w.select(F.col("route").alias("line"), "ord", "lat", "lon")
     return merge.runs(merge.covered(e, later)).select("line", "ord", "covered", "cut")
 
 
 def roads_merged(spark, sf_dir):
-    w = relation(spark, sf_dir, "waypoints").filter("route % 4 = 0")
+    w = relation(spark, sf_dir, "waypoints")
     later = w.filter("part % 3 <> 0").select((F.col("lat") + 0.00004).alias("lat"), (F.col("lon") + 0.00003).alias("lon"))
     return merge.merge_layer(w.select(F.col("route").alias("line"), "ord", "lat", "lon"), later).select("line", "piece", "ord")
 
@@ -108,12 +113,12 @@ def roads_merged(spark, sf_dir):
 def hike_routes(spark, sf_dir):
     p = relation(spark, sf_dir, "peaks").filter("eligible").select(F.col("k").alias("id"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
     req = p.withColumn("lat_a", F.col("lat_b") - 0.012 - (F.col("id") % 3) / 200).withColumn("lon_a", F.col("lon_b") + 0.01 + (F.col("id") % 5) / 200)
-    return hike.routes(req, dem_rows(spark), max_len=8000.0).select("id", "found", "cap_deg", r(F.col("length_m"), 1).alias("length_m"), r(F.col("gain_m"), 1).alias("gain_m"), r(F.col("max_slope_deg"), 2).alias("max_slope_deg"))
+    return hike.routes(req, tile_rows(spark), max_len=8000.0).select("id", "found", "cap_deg", r(F.col("length_m"), 1).alias("length_m"), r(F.col("gain_m"), 1).alias("gain_m"), r(F.col("max_slope_deg"), 2).alias("max_slope_deg"))
 
 
 def _viewsheds(spark, sf_dir):
-    s = relation(spark, sf_dir, "sites").filter("k % 50 = 1").select("k", "slug", "lat", "lon", "height_m")
-    return s, viewshed.coverage(s, formula_sampler, LINK | {"rx_height": 2.0}, 6000.0, 32)
+    s = relation(spark, sf_dir, "sites").select("k", "slug", "lat", "lon", "height_m")
+    return s, viewshed.coverage(s, tile_blocks(spark), LINK | {"rx_height": 2.0}, 6000.0, 32)
 
 
 def viewshed_cells(spark, sf_dir):
@@ -126,13 +131,13 @@ def viewshed_union(spark, sf_dir):
     return viewshed.union_gain(cov, s.select((F.col("k") % 3).alias("chain"), "slug"))
 
 
-@query(f"SELECT w.route, w.ord, count(*) AS n, min(s.slug) AS first FROM {{waypoints}} w JOIN {{sites}} s ON abs(w.lat - s.lat) < 0.1 AND {rd(_hav('w.lat', 'w.lon', 's.lat', 's.lon', '6378137.0::DOUBLE'), 2)} <= 8000 WHERE w.route % 10 = 0 GROUP BY 1, 2")
+@query(f"SELECT w.route, w.ord, count(*) AS n, min(s.slug) AS first FROM {{waypoints}} w JOIN {{sites}} s ON abs(w.lat - s.lat) < 0.1 AND {rd(_hav('w.lat', 'w.lon', 's.lat', 's.lon', '6378137.0::DOUBLE'), 2)} <= 8000 GROUP BY 1, 2")
 def waypoint_cover(spark, sf_dir):
     return _cover(spark, sf_dir).groupBy("route", "ord").agg(F.count("*").alias("n"), F.min("a").alias("first"))
 
 
 def _cover(spark, sf_dir):
-    w = relation(spark, sf_dir, "waypoints").filter("route % 10 = 0").select("route", "ord", "lat", "lon")
+    w = relation(spark, sf_dir, "waypoints").select("route", "ord", "lat", "lon")
     s = relation(spark, sf_dir, "sites").select(F.col("slug").alias("a"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
     return grid_join.within(w, s, 8000.0, slack_m=1.0).filter(r(F.col("dist_m"), 2) <= 8000).select("route", "ord", "a")
 
@@ -140,11 +145,12 @@ def _cover(spark, sf_dir):
 def relay_chains(spark, sf_dir):
     cover = _cover(spark, sf_dir)
     s = relation(spark, sf_dir, "sites").select("slug", "lat", "lon")
-    way = relation(spark, sf_dir, "waypoints").filter("route % 10 = 0")
+    way = relation(spark, sf_dir, "waypoints")
     end = way.groupBy("route").agg(F.max_by(F.struct("lat", "lon"), "ord").alias("e"))
     pool = cover.select("route", F.col("a").alias("slug")).distinct().join(s, "slug")
-    b = pool.select(F.col("route").alias("r2"), F.col("slug").alias("slug2"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    pairs = grid_join.within(pool, b, 12_000.0).filter("route = r2 and slug <> slug2").join(end, "route")
+    # A route's own sites are few; pairs across routes are never made.
+    b = pool.select("route", F.col("slug").alias("slug2"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
+    pairs = pool.join(b, "route").filter("slug <> slug2").filter(g.haversine_m("lat", "lon", "r_lat", "r_lon") <= 12_000.0).join(end, "route")
     hears = pairs.select("route", F.lit("hears").alias("kind"), F.lit(-1).cast("long").alias("ord"), F.col("slug").alias("a"), F.col("slug2").alias("b"), g.haversine_m("r_lat", "r_lon", F.col("e.lat"), F.col("e.lon")).alias("score"))
     null = F.lit(None).cast("string")
     facts = hears.union(cover.select("route", F.lit("covers"), "ord", "a", null, F.lit(0.0))).union(way.select("route", F.lit("waypoint"), "ord", null, null, F.lit(0.0)))

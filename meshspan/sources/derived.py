@@ -48,6 +48,16 @@ CASE part % 5 WHEN 0 THEN 'asphalt' WHEN 1 THEN 'gravel' WHEN 2 THEN 'paved' WHE
 CASE WHEN flag = 'A' THEN 'private' ELSE 'public' END AS access, part % 11 = 0 AS fourwd, qty
 FROM (SELECT *, lead(lat) OVER (PARTITION BY route ORDER BY ord) AS lat_b, lead(lon) OVER (PARTITION BY route ORDER BY ord) AS lon_b FROM {waypoints}) w
 WHERE lat_b IS NOT NULL""",
+    # Roads along the lines of a lattice of 120 x 120 crossings; one in four starts half-way between two, on another road.
+    "roads": """
+SELECT route * 8 + ord AS id, CASE WHEN i % 24 = 0 AND ord % 2 = 1 AND ord % 4 <> 3 THEN 'primary' ELSE CASE (i * 7 + j * 3) % 5 WHEN 0 THEN 'track' WHEN 1 THEN 'unclassified' WHEN 2 THEN 'residential' WHEN 3 THEN 'service' ELSE 'track' END END AS highway,
+CASE (i + j) % 6 WHEN 0 THEN 'grade1' WHEN 1 THEN 'grade2' WHEN 2 THEN 'grade3' WHEN 3 THEN 'grade4' WHEN 4 THEN 'grade5' END AS tracktype, CASE WHEN i % 24 = 0 THEN 'asphalt' WHEN j % 3 = 0 THEN 'gravel' END AS surface, route % 13 = 0 AS fourwd,
+37.0005e0 + i * 0.002e0 + CASE WHEN ord % 4 = 3 THEN 0.001e0 ELSE 0e0 END + (route % 3) * 0.00001e0 AS lat_a, -116.9995e0 + j * 0.0025e0 + (route % 3) * 0.00001e0 AS lon_a,
+37.0005e0 + i * 0.002e0 + CASE WHEN ord % 4 = 3 THEN 0.001e0 ELSE 0e0 END + CASE WHEN ord % 2 = 0 THEN 0.002e0 ELSE 0e0 END + (route % 3) * 0.00001e0 AS lat_b, -116.9995e0 + j * 0.0025e0 + CASE WHEN ord % 2 = 1 THEN 0.0025e0 ELSE 0e0 END + (route % 3) * 0.00001e0 AS lon_b
+FROM (SELECT route, ord, part % 120 AS i, (route * 31 + ord * 7) % 120 AS j FROM {waypoints}) x WHERE ord < 8""",
+    # Places to reach among those roads.
+    "pins": """
+SELECT p_partkey AS k, concat('pin', p_partkey) AS slug, p_name AS name, 37.0035e0 + ((p_partkey * 37) % 230) * 0.001e0 AS lat, -116.9985e0 + ((p_partkey * 53) % 290) * 0.001e0 AS lon FROM <part>""",
 }
 
 
@@ -105,10 +115,54 @@ def duck_height(lat: str, lon: str) -> str:
     return f"(({z(0, 0)} * (1 - {tx}) + {z(0, 1)} * {tx}) * (1 - {ty}) + ({z(1, 0)} * (1 - {tx}) + {z(1, 1)} * {tx}) * {ty})"
 
 
-def dem_rows(spark: SparkSession, lat_tiles=range(36, 40), lon_tiles=range(-119, -115), n: int = GRID + 1) -> DataFrame:
+def dem_rows(spark: SparkSession, lat_tiles=range(36, 41), lon_tiles=range(-119, -114), n: int = GRID + 1) -> DataFrame:
     """The synthetic terrain as scanlines, row 0 north."""
     tiles = spark.createDataFrame([(a, b) for a in lat_tiles for b in lon_tiles], "tile_lat int, tile_lon int")
     rows = tiles.crossJoin(F.broadcast(spark.range(n).select(F.col("id").cast("int").alias("iy"))))  # n rows
     i = (F.col("tile_lat") + 91) * (n - 1) - F.col("iy")
     elev = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda x: node_height(i, (F.col("tile_lon") + 180) * (n - 1) + x).cast("smallint"))
     return rows.select("tile_lat", "tile_lon", F.lit(n).alias("n"), "iy", elev.alias("elev"))
+
+
+_tiles: dict[str, str] = {}
+
+
+def tile_folder(spark: SparkSession) -> str:
+    """A folder of elevation tile files of the synthetic terrain, written once a session."""
+    from .files import hgt_files, write_files
+    from .shared import shared_path
+
+    app = spark.sparkContext.applicationId
+    if app not in _tiles:
+        folder = shared_path(spark, "tiles")
+        write_files(hgt_files(dem_rows(spark)), folder).collect()  # a row a tile
+        _tiles[app] = folder
+    return _tiles[app]
+
+
+def tile_rows(spark: SparkSession) -> DataFrame:
+    """The terrain as read from the tile files."""
+    from .files import read_hgt
+
+    return read_hgt(spark, tile_folder(spark), sizes=(GRID + 1,))
+
+
+def tile_blocks(spark: SparkSession) -> DataFrame:
+    """Blocks of the tile files, written once a session and read as a table."""
+    from ..operators.terrain import blocks
+
+    path = tile_folder(spark) + "-blocks"
+    if path not in _tiles:
+        blocks(tile_rows(spark)).write.mode("overwrite").parquet(path)
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+        _tiles[path] = path
+    return spark.read.parquet(path)
+
+
+def tile_sampler(spark: SparkSession):
+    """A sampler (df, lat, lon, out) over the tile files' blocks."""
+    from ..operators.terrain import sample_blocks
+
+    table = tile_blocks(spark)
+    return lambda df, lat, lon, out: sample_blocks(df, table, lat, lon, out)

@@ -20,8 +20,8 @@ from ..functions.geo import tile_corner
 # --- elevation tiles ------------------------------------------------------------------------------------------
 
 
-def read_hgt(spark: SparkSession, path: str) -> DataFrame:
-    """Scanlines (tile_lat, tile_lon, n, iy, elev) of gzip tiles named by their corner; other sizes than 1201 or 3601 squared are errors."""
+def read_hgt(spark: SparkSession, path: str, sizes: tuple[int, ...] = (1201, 3601)) -> DataFrame:
+    """Scanlines (tile_lat, tile_lon, n, iy, elev) of gzip tiles named by their corner; other ``sizes`` (squared) are errors."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.hgt.gz").load(path)
     south, west = tile_corner(F.regexp_extract("path", r"([^/]+)\.hgt\.gz$", 1))
     raw = raw.select(south.alias("tile_lat"), west.alias("tile_lon"), "content", "path")
@@ -31,7 +31,7 @@ def read_hgt(spark: SparkSession, path: str) -> DataFrame:
             for r in b.to_pylist():
                 data = np.frombuffer(gzip.decompress(r["content"]), ">i2")
                 n = int(len(data) ** 0.5)
-                if n * n != len(data) or n not in (1201, 3601) or r["tile_lat"] is None:
+                if n * n != len(data) or n not in sizes or r["tile_lat"] is None:
                     raise ValueError(f"not an elevation tile: {r['path']}")
                 rows = data.astype(np.int16).reshape(n, n)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * n + 1, n, dtype=np.int32)), pa.array(rows.ravel()))
@@ -40,6 +40,20 @@ def read_hgt(spark: SparkSession, path: str) -> DataFrame:
     return raw.mapInArrow(run, "tile_lat int, tile_lon int, n int, iy int, elev array<smallint>")
 
 
+def hgt_files(dem: DataFrame) -> DataFrame:
+    """(name, content): a gzip tile for each tile of scanlines."""
+    schema = pa.schema([("name", pa.string()), ("content", pa.binary())])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("iy")
+        la, lo = (table.column(c)[0].as_py() for c in ("tile_lat", "tile_lon"))
+        data = np.concatenate([x.values.to_numpy() for x in table.column("elev")]).astype(">i2").tobytes()
+        name = f"{'NS'[la < 0]}{abs(la):02d}{'EW'[lo < 0]}{abs(lo):03d}.hgt.gz"
+        return pa.Table.from_arrays([pa.array([name]), pa.array([gzip.compress(data, mtime=0)], pa.binary())], schema=schema)
+
+    return dem.groupBy("tile_lat", "tile_lon").applyInArrow(run, "name string, content binary")
+
+
 def missing_tiles(wanted: DataFrame, present: DataFrame) -> DataFrame:
     """Tile names that are wanted and not there."""
     return wanted.select("name").distinct().join(present.select("name"), "name", "left_anti")
@@ -127,6 +141,29 @@ def write_geojson(df: DataFrame, path: str, geometry: str, coordinates: Column,
     df.select(feature_text(geometry, coordinates, props).alias("value")).write.mode("overwrite").text(path)
 
 
+#: fixed values: field names that summit files use, in order of preference
+GNIS_NAME = ("feature_name", "name", "gaz_name", "official_name")
+GNIS_ELEV = ("elev_in_m", "elevation", "elev_m")
+
+
+def gnis_candidates(features: DataFrame, south: float, north: float, west: float, east: float) -> DataFrame:
+    """Named summits (props, name, lat, lon, elev_m) inside a box; places come from decimal fields, else from the point."""
+    prop = lambda k: F.nullif(F.btrim(F.try_element_at("props", F.lit(k))), F.lit(""))
+    point = F.from_json("coordinates", "array<double>")
+    lat = F.coalesce(prop("prim_lat_dec").try_cast("double"), point[1])
+    lon = F.coalesce(prop("prim_long_dec").try_cast("double"), point[0])
+    f = features.filter("geometry = 'Point'").select("props", F.coalesce(*map(prop, GNIS_NAME)).alias("name"), lat.alias("lat"), lon.alias("lon"), F.coalesce(*[prop(k).try_cast("double") for k in GNIS_ELEV]).alias("elev_m"), prop("k").alias("k"))
+    return f.filter(F.col("lat").between(south, north) & F.col("lon").between(west, east) & F.col("name").isNotNull())
+
+
+def way_edges(ways: DataFrame, nodes: DataFrame, way: str, refs: str) -> DataFrame:
+    """Edges (way, pos, a, b, lat_a, lon_a, lat_b, lon_b) of ways that list node ids; edges of missing nodes are dropped."""
+    r = ways.select(way, F.posexplode(refs).alias("pos", "a"), F.col(refs).alias("all"))
+    r = r.withColumn("b", F.try_element_at("all", F.col("pos") + 2)).filter("b is not null").drop("all")
+    at = lambda x: nodes.select(F.col("id").alias(x), F.col("lat").alias(f"lat_{x}"), F.col("lon").alias(f"lon_{x}"))
+    return r.join(at("a"), "a").join(at("b"), "b")
+
+
 def compact(coords: Column, places: int = 6) -> Column:
     """Vertices rounded to ``places`` decimals."""
     k = float(10**places)
@@ -180,6 +217,12 @@ def placemark(name, coords: Column, kind: str = "Point") -> Column:
     return F.concat(F.lit("<Placemark><name>"), _escaped(F.col(name)), F.lit(f"</name><{kind}><coordinates>"), at, F.lit(f"</coordinates></{kind}></Placemark>"))
 
 
+def line_placemark(name: Column, coords: Column) -> Column:
+    """KML text of a line; ``coords`` is an array of (lon, lat) structs."""
+    at = F.array_join(F.transform(coords, lambda v: F.concat_ws(",", v["lon"].cast("string"), v["lat"].cast("string"), F.lit("0"))), " ")
+    return F.concat(F.lit("<Placemark><name>"), _escaped(name), F.lit("</name><LineString><coordinates>"), at, F.lit("</coordinates></LineString></Placemark>"))
+
+
 def kml_document(body: Column) -> Column:
     return F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>'), body, F.lit("</Document></kml>"))
 

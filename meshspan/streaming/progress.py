@@ -25,12 +25,13 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     spark = stream.sparkSession
     out, state = shared_path(spark, "stream"), shared_path(spark, "state")
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    def write(batch: DataFrame, number: int) -> None:
+        # A batch that is tried again replaces what its first try wrote.
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
 
-    spark.createDataFrame([], stream.schema).write.parquet(out)
+    spark.createDataFrame([], stream.schema).write.parquet(out if mode == "complete" else f"{out}/batch=-1")
     stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.schema.fieldNames())
 
 
 def counts_by_window(events: DataFrame, width: str, late: str = "1 hour") -> DataFrame:

@@ -53,6 +53,37 @@ def test_nothing_alike(spark):
     docs = spark.createDataFrame([(1, "one two three four five six"), (2, ""), (3, None)], "doc_id long, text string")
     from pyspark.sql import functions as F
 
-    keep = docs.select(F.xxhash64("text").alias("text_hash"))
+    keep = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
     assert near_copy_roots(docs, keep).count() == 0 and near_copy_roots(docs.limit(0), keep.limit(0)).count() == 0
-    assert trees([1, 2, 3], [{1}, {2}, {1}], 0.8) == [(3, 1)]
+    assert trees([1, 2, 3], [{1}, {2}, {1}], 0.8) == [(1, 3)]
+
+
+def test_full_buckets_are_split(spark):
+    """Chunks of a few texts give the groups that one task gives, unlinked texts and bridges between chunks included."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(8)
+    base = [f"c{i}" for i in range(200)]
+    data = []
+    for i in range(120):  # walks away from the base text: many are unlinked to the first but linked to each other
+        ws = list(base)
+        for j in range(rnd.randrange(0, 14)):
+            ws[(i % 5) * 30 + j * 2] = f"s{i % 5}-{j}"
+        data.append((i, " ".join(ws + [f"t{i}"])))
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    keep = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
+    got = {}
+    for size in (4_000_000, 9_000):
+        got[size] = {tuple(r) for r in near_copy_roots(docs, keep, chunk_bytes=size).collect()}
+    want = chained([(i, shingles(t)) for i, t in data])
+    assert got[9_000] == got[4_000_000]
+    assert len({r for _, r in got[9_000]}) == len({r for i, r in want.items() if sum(x == r for x in want.values()) > 1})
+    assert len(got[9_000]) == sum(1 for i, r in want.items() if sum(x == r for x in want.values()) > 1)
+
+
+def test_very_long_text_has_its_copies(spark):
+    from pyspark.sql import functions as F
+
+    long = " ".join(f"w{i % 9973}" for i in range(150_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " one more"), (3, "other words than those here")], "doc_id long, text string")
+    assert near_copy_roots(docs, docs.select("doc_id", F.xxhash64("text").alias("text_hash"))).count() == 2

@@ -157,6 +157,18 @@ def _features(batches):
             yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("toxic"), pa.array(found, pa.list_(pa.string()))], names=["rid", "toxic", "found"])
 
 
+def _numbered(names: list[str]):
+    """Features as their places in ``names``; the others are left out."""
+
+    def run(batches):
+        at = {w: i for i, w in enumerate(names)}
+        for b in batches:
+            found = [[at[f] for f in fs if f in at] for fs in b.column("found").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(found, pa.list_(pa.int32()))], names=["rid", "found"])
+
+    return run
+
+
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> tuple[DataFrame, dict[int, float]]:
     """Labelled texts (rid, toxic, text), at most ``max_rows``, and how many labelled rows each sampled row of a label stands for.
 
@@ -216,11 +228,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     z = (F.col("c1") / mass[1] - F.col("c0") / mass[0]) / F.sqrt(pooled * (1 - pooled) * (1 / mass[1] + 1 / mass[0]))
     strong = c.filter((F.abs(z) >= least_z) & (F.col("c0") + F.col("c1") >= 3)).select("f")
     terms = sorted({t for g in groups for t in g})
-    spark = docs.sparkSession
     names = sorted({r.f for r in strong.collect()} | set(terms))  # what passes the test: no more than a few thousand words
-    numbers = F.broadcast(spark.createDataFrame(list(enumerate(names)), "i int, f string"))
-    found = flat.join(numbers, "f").groupBy("rid").agg(F.collect_list("i").alias("found"))
-    got = weights.join(found, "rid", "left").orderBy("rid").toArrow()  # max_rows rows of numbers
+    found = rows.select("rid", "found").mapInArrow(_numbered(names), "rid long, found array<int>")
+    got = weights.join(found, "rid").orderBy("rid").toArrow()  # max_rows rows of numbers
     y = got.column("toxic").to_numpy().astype(float)
     share = got.column("w").to_numpy() * np.where(y > 0, stands[1], stands[0])
     bags = [np.sort(np.array(x or [], int)) for x in got.column("found").to_pylist()]

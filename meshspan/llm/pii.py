@@ -285,6 +285,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     parts = F.transform("marks", lambda x: F.concat(F.substring(text, x["from"].cast("int") + 1, F.greatest(x["start"] - x["from"], F.lit(0)).cast("int")), x["mark"]))
     new = F.concat(F.array_join(parts, ""), F.substring(text, F.col("last").cast("int") + 1, F.length(text)))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
-    out = rows.join(marks, rows["id"].eqNullSafe(marks["m_id"]) & (rows["hash"] == marks["m_hash"]), "left")
+    out = rows.join(marks.hint("merge"), rows["id"].eqNullSafe(marks["m_id"]) & (rows["hash"] == marks["m_hash"]), "left")
     out = out.withColumn("new", F.when(F.col("marks").isNull(), text).otherwise(new))
     return out.select(F.col("row").withField(f"`{text_col}`", F.col("new")).alias("row")).select("row.*")

@@ -9,6 +9,7 @@ from ..functions import geo as g
 from ..functions import roads as rds
 from ..operators import graph, greedy, grid_join, roadnet
 from ..sources.derived import duck_height, relation, tile_sampler
+from ..sources.shared import kept
 from .access import MULT
 from .geodesy import _hav, r, rd
 from .registry import query
@@ -32,8 +33,15 @@ edge AS (SELECT src, dst, count(*) AS n, min(cost) AS cost, arg_min(length_m, (c
 
 
 def routing_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    nodes, edges = roadnet.build(relation(spark, sf_dir, "roads"))
-    return nodes, graph.cut(edges)
+    """Nodes and edges, built once a session and data folder."""
+    built = []
+
+    def part(i: int):
+        if not built:
+            built.extend(roadnet.build(relation(spark, sf_dir, "roads")))
+        return built[i]
+
+    return kept(spark, f"road nodes of {sf_dir}", lambda: part(0)), kept(spark, f"road edges of {sf_dir}", lambda: part(1))
 
 
 @query(f"WITH {PLACES} SELECT src, dst, n, {rd('length_m', 2)} AS length_m, {rd('cost', 2)} AS cost, highway, tracktype FROM edge")
@@ -72,19 +80,19 @@ SMOOTH = "tracktype <> 'grade5'"
 TREES = f"{_tree_sql('tree', 'true', CAP)}, {_tree_sql('btree', SMOOTH, CAP_BUDGET)}"
 
 
-def trees(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Reach from paved anchors: all drivable edges, and within the budget."""
+def trees(spark: SparkSession, sf_dir: str, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reach from paved anchors, over all drivable edges and within the budget; both are flooded once a session and data folder."""
     a = roadnet.anchors(edges)
     cost = r(F.col("cost"), 2)
-    full = graph.reach(roadnet.both_ways(edges, cost), a, CAP)
     smooth = edges.filter(F.coalesce("tracktype", F.lit("")) != "grade5")
-    return full, graph.reach(roadnet.both_ways(smooth, cost), a, CAP_BUDGET)
+    full = kept(spark, f"reach of {sf_dir}", lambda: graph.reach(roadnet.both_ways(edges, cost), a, CAP))
+    return full, kept(spark, f"budget reach of {sf_dir}", lambda: graph.reach(roadnet.both_ways(smooth, cost), a, CAP_BUDGET))
 
 
 @query(f"WITH {PLACES}, {ANCHOR}, {TREES} SELECT coalesce(t.node, b.node) AS node, t.cost AS cost_m, b.cost AS budget_m FROM tree t FULL JOIN btree b ON b.node = t.node")
 def jeep_trees(spark, sf_dir):
     _, e = routing_graph(spark, sf_dir)
-    t, b = trees(e)
+    t, b = trees(spark, sf_dir, e)
     b = b.select("node", r(F.col("cost"), 2).alias("budget_m"))
     return t.select("node", r(F.col("cost"), 2).alias("cost_m")).join(b, "node", "full")
 
@@ -121,14 +129,14 @@ def park_candidates(spark: SparkSession, sf_dir: str, nodes: DataFrame, tree: Da
 @query(f"WITH {PLACES}, {ANCHOR}, {TREES}, {_parks_sql('cand', 'tree')} SELECT k, node, jeep_m, d AS hike_m, slope, score, passes FROM cand")
 def access_candidates(spark, sf_dir):
     n, e = routing_graph(spark, sf_dir)
-    t, _ = trees(e)
+    t, _ = trees(spark, sf_dir, e)
     return park_candidates(spark, sf_dir, n, t).select("k", "node", "jeep_m", "hike_m", "slope", "score", "passes")
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each pin with a park: the best candidate, the best within the budget if it is another, and whether the pin is eligible."""
     n, e = routing_graph(spark, sf_dir)
-    t, b = trees(e)
+    t, b = trees(spark, sf_dir, e)
     best = lambda c: c.groupBy("k").agg(F.min(F.struct("score", "node", "jeep_m", "hike_m", "slope", "rank", "passes", "r_lat", "r_lon")).alias("m"))
     rec = best(park_candidates(spark, sf_dir, n, t)).select("k", F.col("m").alias("rec"))
     bud = best(park_candidates(spark, sf_dir, n, b).filter("passes")).select("k", F.col("m").alias("bud"))
@@ -180,13 +188,19 @@ def option_id(lat: str, lon: str, index: int = 0):
 def access_options(spark, sf_dir):
     """Up to four places to park for each pin."""
     n, e = routing_graph(spark, sf_dir)
-    t, _ = trees(e)
+    t, _ = trees(spark, sf_dir, e)
     return options(park_candidates(spark, sf_dir, n, t))
 
 
 FOOT_CAP, NEAR_TRAIL = 700.0, 80.0
 
 
+def _walks(spark: SparkSession, sf_dir: str, trail: DataFrame, pins: DataFrame, at: DataFrame) -> DataFrame:
+    """What a walk from each pin over trails reaches: a tree for each pin (k)."""
+    start = grid_join.within(pins, at, 150.0, radius=g.R_GROUND).select("k", "node")
+    return kept(spark, f"walks of {sf_dir}", lambda: graph.reach(roadnet.both_ways(trail, r(F.col("length_m"), 2)), start, FOOT_CAP, key=["k"]))
+
+
 def trail_parks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Road nodes that a trail leads to from a pin: (k, node, trail_m).
 
@@ -195,13 +209,12 @@ def trail_parks(spark: SparkSession, sf_dir: str) -> DataFrame:
     of a trail node that the pin's walk reaches.
     """
     n, e = routing_graph(spark, sf_dir)
-    t, _ = trees(e)
+    t, _ = trees(spark, sf_dir, e)
     trail = e.filter(F.coalesce("tracktype", F.lit("")).isin("grade4", "grade5"))
     on = trail.select(F.col("src").alias("node")).union(trail.select("dst")).distinct().join(n, "node")
     p = relation(spark, sf_dir, "pins").select("k", "lat", "lon")
     at = on.select("node", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    start = grid_join.within(p, at, 150.0, radius=g.R_GROUND).select("k", "node")
-    walk = graph.reach(roadnet.both_ways(trail, r(F.col("length_m"), 2)), start, FOOT_CAP, key=["k"])
+    walk = _walks(spark, sf_dir, trail, p, at)
     place = walk.join(n, "node").select("k", F.col("cost").alias("trail_m"), "lat", "lon")
     car = t.select("node").join(n, "node").select("node", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
     hit = grid_join.within(place, car, NEAR_TRAIL, radius=g.R_GROUND)
@@ -228,8 +241,7 @@ def trail_closest_approach(spark, sf_dir):
     on = trail.select(F.col("src").alias("node")).union(trail.select("dst")).distinct().join(n, "node")
     p = relation(spark, sf_dir, "pins").select("k", "lat", "lon")
     at = on.select("node", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    start = grid_join.within(p, at, 150.0, radius=g.R_GROUND).select("k", "node")
-    walk = graph.reach(roadnet.both_ways(trail, r(F.col("length_m"), 2)), start, FOOT_CAP, key=["k"])
+    walk = _walks(spark, sf_dir, trail, p, at)
     far = walk.join(at, "node").join(p, "k").withColumn("left_m", r(g.haversine_m("lat", "lon", "r_lat", "r_lon", g.R_GROUND), 2))
     best = far.groupBy("k").agg(F.min(F.struct("left_m", "node", "cost")).alias("m"))
     return best.select("k", "m.node", r(F.col("m.cost"), 2).alias("trail_m"), "m.left_m")

@@ -21,3 +21,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return path
+
+
+_kept: dict[tuple[str, str], str] = {}
+
+
+def kept(spark: SparkSession, name: str, build):
+    """A table that is built once a session under ``name`` and read from the shared folder after that."""
+    key = spark.sparkContext.applicationId, name
+    if key not in _kept:
+        path = shared_path(spark, "kept")
+        build().write.parquet(path)
+        _kept[key] = path
+    return spark.read.parquet(_kept[key])

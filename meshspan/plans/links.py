@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo as g
 from ..functions import rf
-from ..operators import grid_join, solver, terrain
+from ..operators import graph, grid_join, solver, terrain
 from ..sources.derived import duck_height, relation, tile_sampler
 from .geodesy import _hav, r, rd
 from .registry import query
@@ -137,13 +137,23 @@ def fortify_candidates(spark, sf_dir):
     a = s.select("k", F.col("slug").alias("a"), F.col("lat").alias("la"), F.col("lon").alias("lo"))
     ab = a.join(s.select((F.col("k") - 5).alias("k"), F.col("slug").alias("b"), F.col("lat").alias("lb"), F.col("lon").alias("lob")), "k").drop("k")
     p = relation(spark, sf_dir, "peaks").filter("eligible").select(F.col("slug").alias("peak"), F.col("lat").alias("pl"), F.col("lon").alias("po"))
-    c = grid_join.within(p, ab, 60_000.0, ("pl", "po"), ("la", "lo"), "da", slack_m=2.0).withColumn("db", g.haversine_m("pl", "po", "lb", "lob"))
-    c = c.filter((r(F.col("da")) <= 60001) & (r(F.col("db")) <= 60001))
-    m = c.select("a", "b", "peak", free_margin("da").alias("margin_a"), free_margin("db").alias("margin_b"), r(g.along_track("pl", "po", "la", "lo", "lb", "lob"), 6).alias("t"))
-    m = m.withColumn("viable", (F.col("margin_a") >= 4) & (F.col("margin_b") >= 4))
-    weaker = F.when(F.col("viable"), F.least("margin_a", "margin_b"))
-    w = Window.partitionBy("a", "b").orderBy(F.desc("viable"), weaker.desc_nulls_last(), F.abs(F.col("margin_a") - F.col("margin_b")), F.abs(F.col("t") - 0.5), "peak")
-    return m.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 5")
+    keys, left, out = ["a", "b"], graph.cut(ab), None
+    # The rank goes by the longer of the two legs, so five candidates that beat every one beyond a radius are the answer.
+    for radius in (20_000.0, 30_000.0, 60_000.0):
+        c = grid_join.within(p, left, radius, ("pl", "po"), ("la", "lo"), "da", slack_m=2.0).withColumn("db", g.haversine_m("pl", "po", "lb", "lob"))
+        c = c.filter((r(F.col("da")) <= radius + 1) & (r(F.col("db")) <= radius + 1))
+        m = c.select("a", "b", "peak", free_margin("da").alias("margin_a"), free_margin("db").alias("margin_b"), r(g.along_track("pl", "po", "la", "lo", "lb", "lob"), 6).alias("t"))
+        m = m.withColumn("viable", (F.col("margin_a") >= 4) & (F.col("margin_b") >= 4))
+        weaker = F.when(F.col("viable"), F.least("margin_a", "margin_b"))
+        w = Window.partitionBy(*keys).orderBy(F.desc("viable"), weaker.desc_nulls_last(), F.abs(F.col("margin_a") - F.col("margin_b")), F.abs(F.col("t") - 0.5), "peak")
+        m = m.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 5")
+        if radius < 60_000.0:
+            m = graph.cut(m)
+            sure = m.filter((F.col("rank") == 5) & F.col("viable") & (F.least("margin_a", "margin_b") > free_margin(F.lit(radius)) + 0.002)).select(*keys)
+            left = graph.cut(left.join(sure, keys, "left_anti"))
+            m = m.join(sure, keys, "left_semi")
+        out = m if out is None else out.union(m)
+    return out
 
 
 EDGE = f"edge AS (SELECT a, b, d FROM pair WHERE {_free('d')} >= 24)"

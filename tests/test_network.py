@@ -180,3 +180,28 @@ def test_climb_ends_on_a_summit(spark):
             lo = r.lon + math.degrees(math.atan2(math.sin(t) * math.sin(d) * math.cos(p), math.cos(d) - math.sin(p) * math.sin(p2)))
             if metres((math.degrees(p2), lo), start[r.slug]) <= 2000:
                 assert z(math.degrees(p2), lo) <= r.elev_m + 1e-3
+
+
+def test_access_options_by_brute_force(spark):
+    from meshspan.plans.network import options
+
+    rnd = random.Random(6)
+    rows = [(k, n, 37 + rnd.random() * 0.01, -117 + rnd.random() * 0.01, round(rnd.random() * 500, 2), round(rnd.random() * 900, 2), round(rnd.random() * 3000, 3), n % 2 == 0) for k in range(6) for n in range(40)]
+    df = spark.createDataFrame(rows, "k long, node long, r_lat double, r_lon double, hike_m double, jeep_m double, score double, passes boolean")
+    got = {(r.k, r.node): (r.option, r.recommended) for r in options(df).collect()}
+    want = {}
+    for k in range(6):
+        thin = []
+        for x in sorted((x for x in rows if x[0] == k), key=lambda x: (x[4], x[1])):
+            if len(thin) < 20 and all(metres(x[2:4], y[2:4]) >= 250 for y in thin):
+                thin.append(x)
+        kept = []
+        for x in sorted(thin, key=lambda x: (x[6], x[1])):
+            if len(kept) < 4 and all(metres(x[2:4], y[2:4]) >= 400 for y in kept):
+                kept.append(x)
+        best = kept[0]
+        least = min(x[4] for x in kept)
+        left = [x for x in kept if x[4] <= least + 40]
+        pick = best if best in left else left[0]
+        want |= {(k, x[1]): (f"{x[2]:.4f}#{x[3]:.4f}#0", x is pick) for x in left}
+    assert got == want

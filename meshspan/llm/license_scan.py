@@ -32,7 +32,7 @@ RULES = (
     (r"organisation", "organization"),
     (r"acknowledgement", "acknowledgment"),
     (r"whilst", "while"),
-    (r"[^\pL\pN]+", " "),
+    (r"[^\pL\pN\n]+", " "),
 )
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -111,17 +111,29 @@ DIGESTS = (
 )
 
 
-def canonical(text: Column) -> Column:
+def canonical_lines(text: Column) -> Column:
+    """The canonical form with its line breaks: all rules in one pass over the text, for it and its lines alike."""
     out = F.lower(text)
     for pattern, to in RULES:
         out = F.regexp_replace(out, pattern, to)
-    return F.btrim(out)
+    return out
+
+
+def canonical(text: Column) -> Column:
+    return _whole(canonical_lines(text))
+
+
+def _whole(form: Column) -> Column:
+    return F.btrim(F.regexp_replace(form, r"[ \n]+", " "))
+
+
+def _digest(form: Column) -> Column:
+    return F.when(form != "", F.sha2(form, 256))
 
 
 def digest(text: Column) -> Column:
     """The canonical form's digest, null where the form is empty."""
-    form = canonical(text)
-    return F.when(form != "", F.sha2(form, 256))
+    return _digest(canonical(text))
 
 
 def known_licences(spark: SparkSession) -> DataFrame:
@@ -143,8 +155,10 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     known = known.groupBy("digest").agg(F.min("licence").alias("licence"))
     text = F.col("text")
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    lines = F.array_distinct(F.transform(F.split(text, r"\n"), digest))
-    rows = stored(src.select(F.monotonically_increasing_id().alias("rid"), "id", digest(text).alias("whole"), lines.alias("lines")), "digests")
+    form = F.col("form")
+    lines = F.array_distinct(F.filter(F.transform(F.split(form, r"\n"), lambda x: _digest(F.btrim(x))), lambda x: x.isNotNull()))
+    src = src.select(F.monotonically_increasing_id().alias("rid"), "id", canonical_lines(text).alias("form"))
+    rows = stored(src.select("rid", "id", _digest(_whole(form)).alias("whole"), lines.alias("lines")), "digests")
     whole = rows.select("rid", F.col("whole").alias("digest")).filter("digest is not null").join(known, "digest").select("rid", "licence")
     single = rows.select("rid", F.explode("lines").alias("digest")).filter("digest is not null").join(known, "digest").groupBy("rid").agg(F.array_sort(F.collect_set("licence")).alias("notices"))
     out = rows.select("rid", "id").join(whole, "rid", "left").join(single, "rid", "left")

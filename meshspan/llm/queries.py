@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from . import license_scan as licences
 from .common_io import table
 from .decontaminate import decontaminate
@@ -62,9 +63,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = bpe.encode(table(spark, sf_dir, "documents"))
+    text = bpe.decode(ids.withColumn("kept", F.struct("doc_id", "ids")), id_col="kept")
+    said = F.array_join(F.col("kept.ids").cast("array<string>"), ",")
+    return text.select("kept.doc_id", F.size("kept.ids").cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_language_id, op3_toxicity, op4_html_extraction, op5_decontamination, op6_pii, op7_license_scan, op8_mixing, op9_media_columns, op10_simhash)
+    for f in (op1_substring_dedup, op2_language_id, op3_toxicity, op4_html_extraction, op5_decontamination, op6_pii, op7_license_scan, op8_mixing, op9_media_columns, op10_simhash, op13_bpe)
 }
 
 #: DuckDB SQL by query; queries that SQL cannot express are tested by brute force instead

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
+from . import conversation_trie as tries
 from . import license_scan as licences
 from .common_io import table
 from .decontaminate import decontaminate
@@ -17,6 +18,7 @@ from .pii import find_pii, joined_spans
 from .simhash import simhash_groups
 from .substring_dedup import substring_dedup
 from .toxicity import toxicity
+from .whitening import whiten
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +65,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(table(spark, sf_dir, "documents"))
     text = bpe.decode(ids.withColumn("kept", F.struct("doc_id", "ids")), id_col="kept")
@@ -72,11 +82,11 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_language_id, op3_toxicity, op4_html_extraction, op5_decontamination, op6_pii, op7_license_scan, op8_mixing, op9_media_columns, op10_simhash, op13_bpe)
+    for f in (op1_substring_dedup, op2_language_id, op3_toxicity, op4_html_extraction, op5_decontamination, op6_pii, op7_license_scan, op8_mixing, op9_media_columns, op10_simhash, op11_conversation_trie, op12_whitening, op13_bpe)
 }
 
 #: DuckDB SQL by query; queries that SQL cannot express are tested by brute force instead
-ORACLE_SQL: dict[str, str] = {"op7_license_scan": licences.oracle()}
+ORACLE_SQL: dict[str, str] = {"op7_license_scan": licences.oracle(), "op11_conversation_trie": tries.oracle()}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START = -1
-MAX_STATES = 160_000  # of a worker's table before it starts afresh
+MAX_STATES = 100_000  # of a worker's table before it starts afresh
 PACK = 1 << 18  # characters that take their steps together
 PUNCTUATION, LETTER, NUMBER, SPACE, EDGE = range(5)
 
@@ -253,6 +253,28 @@ class Automaton:
         return tokens
 
 
+def labels_of(d: dict) -> tuple[dict[int, bytes], dict[str, int]]:
+    """Of a vocabulary file: the bytes of each token by id, and the ids of the added tokens."""
+    letters = byte_letters()
+    labels = {i: bytes(map(letters.__getitem__, t)) for t, i in d["model"]["vocab"].items()}
+    return labels, {x["content"]: x["id"] for x in d.get("added_tokens", [])}
+
+
+class Arcs:
+    """What the arcs of ids write; all that decoding needs."""
+
+    def __init__(self, spec: str):
+        labels, added = labels_of(json.loads(spec))
+        labels |= {i: t.encode("utf-8") for t, i in added.items()}
+        #: by id, and nothing at the end for ids without a label
+        self.labels = np.full(max(labels) + 2, b"", object)
+        self.labels[list(labels)] = list(labels.values())
+
+    def decode(self, ids: np.ndarray) -> str:
+        known = np.where((ids >= 0) & (ids < len(self.labels)), ids, -1)
+        return b"".join(self.labels[known].tolist()).decode("utf-8", "replace")
+
+
 class Codec:
     """A vocabulary file of the byte-level kind: the automaton, and added tokens that are cut out of a text first."""
 
@@ -261,19 +283,13 @@ class Codec:
         model, pre = d["model"], d.get("pre_tokenizer") or {}
         if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or d.get("normalizer") or model.get("dropout") or model.get("ignore_merges"):
             raise ValueError("only plain byte-level BPE files are read")
-        letters = byte_letters()
-        vocab = model["vocab"]
-        labels = {i: bytes(map(letters.__getitem__, t)) for t, i in vocab.items()}
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.automaton = Automaton(labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
-        self.added = {x["content"]: x["id"] for x in d.get("added_tokens", [])}
         if any(x.get(k) for x in d.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")):
             raise ValueError("added tokens that take white space or need word ends are not read")
+        labels, self.added = labels_of(d)
+        vocab = model["vocab"]
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        self.automaton = Automaton(labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
         self.cutter = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.labels = labels | {i: t.encode("utf-8") for t, i in self.added.items()}
-        #: by id, and nothing at the end for ids without a label
-        self.arcs = np.full(max(self.labels) + 2, b"", object)
-        self.arcs[list(self.labels)] = list(self.labels.values())
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all ``texts`` one after the other, and where each text's end."""
@@ -299,17 +315,18 @@ class Codec:
         stops = np.cumsum(tokens >= 0)[at[edges[np.array(after) - 1]]]
         return tokens[tokens >= 0], stops
 
-    def decode(self, ids: np.ndarray) -> str:
-        known = np.where((ids >= 0) & (ids < len(self.arcs)), ids, -1)
-        return b"".join(self.arcs[known].tolist()).decode("utf-8", "replace")
-
 
 @functools.lru_cache(maxsize=2)
 def codec(spec: str) -> Codec:
-    """Compiled once in each worker."""
+    """Compiled once in each worker that encodes."""
     return Codec(spec)
 
 
+@functools.lru_cache(maxsize=2)
+def arcs(spec: str) -> Arcs:
+    return Arcs(spec)
+
+
 def vocabulary(path: str | None = None) -> str:
     """The vocabulary file as text, read by the driver: a file of a few megabytes, which goes to the tasks with their code."""
     if path is None:
@@ -347,7 +364,7 @@ def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id",
     key = encoded.schema[id_col].dataType
 
     def run(batches):
-        c = codec(spec)
+        c = arcs(spec)
         for batch in batches:
             lists = batch.column(1)
             ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)

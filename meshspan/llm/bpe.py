@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START = -1
-MAX_STATES = 100_000  # of a worker's table before it starts afresh
+MAX_STATES = 60_000  # of a worker's table before it starts afresh
 PACK = 1 << 18  # characters that take their steps together
 PUNCTUATION, LETTER, NUMBER, SPACE, EDGE = range(5)
 
@@ -337,13 +337,17 @@ def vocabulary(path: str | None = None) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` to (``id_col``, ids array<int>): one row a row, in any order."""
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """``docs`` to (``id_col``, ids array<int>): one row a row, in any order.
+
+    With ``decoded``, a column of that name has the ids decoded again by the same
+    worker, so that a round trip needs no second one beside it.
+    """
     spec = vocabulary(path)
     key = docs.schema[id_col].dataType
 
     def run(batches):
-        c = codec(spec)
+        c, back = codec(spec), arcs(spec) if decoded else None
         for batch in batches:
             first, texts, size = 0, [], 0
             for i, text in enumerate(batch.column(1)):
@@ -351,11 +355,14 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                 size += len(texts[-1])
                 if size >= PACK or i + 1 == batch.num_rows:
                     ids, stops = c.encode(texts)
-                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, stops), pa.int32()), pa.array(ids, pa.int32()))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), lists], names=[id_col, "ids"])
+                    out = {id_col: batch.column(0).slice(first, len(texts)), "ids": pa.ListArray.from_arrays(pa.array(np.append(0, stops), pa.int32()), pa.array(ids, pa.int32()))}
+                    if back:
+                        out["decoded"] = pa.array([back.decode(x) for x in np.split(ids, stops)[:-1]], pa.string())
+                    yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
                     first, texts, size = i + 1, [], 0
 
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {key.simpleString()}, ids array<int>")
+    schema = f"`{id_col}` {key.simpleString()}, ids array<int>" + ", decoded string" * decoded
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -74,10 +74,9 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(table(spark, sf_dir, "documents"))
-    text = bpe.decode(ids.withColumn("kept", F.struct("doc_id", "ids")), id_col="kept")
-    said = F.array_join(F.col("kept.ids").cast("array<string>"), ",")
-    return text.select("kept.doc_id", F.size("kept.ids").cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    out = bpe.encode(table(spark, sf_dir, "documents"), decoded=True)
+    said = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES = {

@@ -1,17 +1,22 @@
 """Elevation sampling, profiles and link evaluation over terrain.
 
 Terrain comes as scanlines (tile_lat, tile_lon, n, iy, elev), row 0 north, and is
-laid out in square blocks that overlap by one row and column.  A sample needs one
-block, an equi-join on its tile and block; links explode to samples only after
-range and free-space loss have let them through, once for both directions.
+laid out in square blocks that overlap by one row and column.  A point's sample is
+an equi-join on its tile and block.  A link that range and free-space loss let
+through is cut into its stretches within one block; a kernel a block evaluates
+all that cross it, both directions at once, so profiles never become rows.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, rf
+from ..functions.rf import LIGHT_M_S
+from ..sources.shared import stored
 
 VOID = -32768
 
@@ -62,43 +67,151 @@ def sample_blocks(points: DataFrame, terrain: DataFrame, lat: str = "lat", lon:
     return p.withColumn(out, z).select(*points.columns, out)
 
 
-def evaluate_pairs(pairs: DataFrame, sampler, link: dict, step_m: Column, keep: list[str], heights=("a_height_m", "b_height_m"), receivers=None) -> DataFrame:
+def line_points(lat, lon, bearing, s):
+    """Latitude and longitude (arrays) at distances ``s`` along great circles."""
+    p, d = np.radians(lat), s / geo.R_RADIO
+    p2 = np.arcsin(np.sin(p) * np.cos(d) + np.cos(p) * np.sin(d) * np.cos(bearing))
+    l2 = np.radians(lon) + np.arctan2(np.sin(bearing) * np.sin(d) * np.cos(p), np.cos(d) - np.sin(p) * np.sin(p2))
+    return np.degrees(p2), np.degrees(l2)
+
+
+def _samples(first: np.ndarray, last: np.ndarray):
+    """Rows and numbers of the samples first..last of each row, one after the other, and where each row's begin."""
+    n = last - first + 1
+    begin = np.cumsum(n) - n
+    row = np.repeat(np.arange(len(n)), n)
+    return row, first[row] + np.arange(len(row)) - begin[row], begin
+
+
+LEG = "tile_lat int, tile_lon int, by int, bx int, first int, last int"
+SAMPLES = 1 << 19  # positions worked out at a time
+
+
+def cut_by_block(lines: DataFrame, dims: dict[tuple[int, int], int], size: int) -> DataFrame:
+    """``lines`` (a_lat, a_lon, bearing, dist_m, steps and more), a row for each stretch of samples in one terrain block.
+
+    ``dims`` has the nodes of a side by tile: at most the 64,800 of the globe.  A
+    stretch over ground without a tile has by and bx -1.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema)
+
+    def run(batches):
+        for whole in batches:
+            steps = np.maximum(whole.column("steps").to_numpy(zero_copy_only=False).astype(np.int64), 2)
+            for part in np.split(np.arange(whole.num_rows), np.flatnonzero(np.diff(np.cumsum(steps) // SAMPLES)) + 1):
+                if not len(part):
+                    continue
+                batch = whole.slice(int(part[0]), len(part))
+                at = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+                row, i, _ = _samples(np.ones(len(part), np.int64), steps[part] - 1)
+                la, lo = line_points(at("a_lat")[row], at("a_lon")[row], at("bearing")[row], i / steps[part][row] * at("dist_m")[row])
+                ty, tx = np.floor(la).astype(np.int32), np.floor(lo).astype(np.int32)
+                n = np.zeros(len(row), np.int64)
+                for tile in {*zip(ty.tolist(), tx.tolist())}:
+                    n[(ty == tile[0]) & (tx == tile[1])] = dims.get(tile, 0)
+                by = np.where(n > 0, np.floor((ty + 1 - la) * (n - 1)) // size, -1).astype(np.int32)
+                bx = np.where(n > 0, np.floor((lo - tx) * (n - 1)) // size, -1).astype(np.int32)
+                same = np.ones(len(row) - 1, bool)
+                for v in (row, ty, tx, by, bx):
+                    same &= v[1:] == v[:-1]
+                start = np.flatnonzero(np.append(True, ~same))
+                stop = np.append(start[1:], len(row)) - 1
+                legs = [pa.array(v[start].astype(np.int32)) for v in (ty, tx, by, bx, i)] + [pa.array(i[stop].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(row[start])).columns, *legs], names=[*batch.schema.names, "tile_lat", "tile_lon", "by", "bx", "first", "last"])
+
+    return lines.mapInArrow(run, f"{schema}, {LEG}")
+
+
+def obstructions(keep: list[str], link: dict, size: int):
+    """A kernel (stretches, block): the largest obstruction of each stretch both ways, sampled from the one block."""
+    wl = LIGHT_M_S / (link["freq_mhz"] * 1e6)
+
+    def nu(s, d, ground, z_tx, z_rx):
+        line = z_tx * (1 - s / d) + z_rx * (s / d) - s * (d - s) / (2 * rf.EFFECTIVE_EARTH_M)
+        over = ground - (line - link["fresnel"] * np.sqrt(wl * s * (d - s) / d))
+        counts = (s >= 2) & (d - s >= 2) & (over > 0)
+        return np.where(counts, over * np.sqrt(2 * d / (wl * s * np.where(counts, d - s, 1.0))), -np.inf)
+
+    def run(key, legs: pa.Table, block: pa.Table) -> pa.Table:
+        z = n = w = None
+        if block.num_rows:
+            n, w = block.column("n")[0].as_py(), block.column("w")[0].as_py()
+            z = block.column("z").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+            z = np.where((z == VOID) | (z < -12000), 0.0, z)
+        tile_lat, tile_lon, by, bx = (k.as_py() for k in key[:4])
+        col = lambda c: legs.column(c).to_numpy()
+        first, last = col("first").astype(np.int64), col("last").astype(np.int64)
+        best = [np.full(len(first), -np.inf), np.full(len(first), -np.inf)]
+        for part in np.split(np.arange(len(first)), np.flatnonzero(np.diff(np.cumsum(last - first + 1) // SAMPLES)) + 1):
+            if not len(part):
+                continue
+            row, i, begin = _samples(first[part], last[part])
+            of = lambda c: col(c)[part][row]
+            d = of("dist_m")
+            s = i / of("steps") * d
+            ground = np.zeros(len(row))
+            if z is not None:
+                la, lo = line_points(of("a_lat"), of("a_lon"), of("bearing"), s)
+                fx, fy = (lo - tile_lon) * (n - 1), (tile_lat + 1 - la) * (n - 1)
+                x, y = np.floor(fx).astype(np.int64), np.floor(fy).astype(np.int64)
+                on = (x + 1 < n) & (y + 1 < n)
+                at = np.where(on, (y - by * size) * w + x - bx * size, 0)
+                tx, ty = fx - x, fy - y
+                top = z[at] * (1 - tx) + z[at + 1] * tx
+                ground = np.where(on, top * (1 - ty) + (z[at + w] * (1 - tx) + z[at + w + 1] * tx) * ty, 0.0)
+            ground = ground + link["clutter"]
+            best[0][part] = np.maximum.reduceat(nu(s, d, ground, of("z_a_tx"), of("z_b_rx")), begin)
+            best[1][part] = np.maximum.reduceat(nu(d - s, d, ground, of("z_b_tx"), of("z_a_rx")), begin)
+        found = [pa.array(v, mask=~np.isfinite(v)) for v in best]
+        return pa.Table.from_arrays([*[legs.column(c) for c in keep], *found], names=[*keep, "nu_out", "nu_back"])
+
+    return run
+
+
+def evaluate_pairs(pairs: DataFrame, terrain: DataFrame, link: dict, step_m: Column, keep: list[str], heights=("a_height_m", "b_height_m"), receivers=None, size: int = BLOCK, crowd: int = 20_000) -> DataFrame:
     """Both directions of every pair (a_lat, a_lon, b_lat, b_lon, dist_m, heights): ``keep``, dist_m, fspl, forward, reverse.
 
-    ``sampler(df, lat, lon, out)`` adds elevations; ``link`` has eirp_chain,
-    threshold_dbm, freq_mhz, fresnel, clutter, max_range_m; ``receivers`` are the
-    height columns of the receiving ends where they differ.  A margin is null
-    where its direction does not decode.  The ground between two sites is sampled
-    once: a direction reads the samples of the other from their far end.
+    ``terrain`` are ``blocks``; ``link`` has eirp_chain, threshold_dbm, freq_mhz,
+    fresnel, clutter, max_range_m; ``receivers`` are the height columns of the
+    receiving ends where they differ; ``keep`` names a pair.  A margin is null
+    where its direction does not decode.
+
+    No sample is a row.  A line is cut into its stretches within one terrain block,
+    stretches meet their block, and a kernel gives the worst of each; the worst of
+    a pair is a grouped maximum.  A block that more than ``crowd`` stretches cross
+    is dealt out in as many copies as they need.  Ends are sampled once a place.
     """
     d, f = F.col("dist_m"), float(link["freq_mhz"])
     up = lambda c: F.greatest(F.col(c), F.lit(1.0))
     rx = receivers or heights
     base = pairs.withColumn("fspl", F.when(d < 2, 0.0).otherwise(rf.fspl_db(d, f)))
     base = base.withColumn("__open", (d <= link["max_range_m"]) & (link["eirp_chain"] - F.col("fspl") >= link["threshold_dbm"]))
-    base = sampler(sampler(base, "a_lat", "a_lon", "__za"), "b_lat", "b_lon", "__zb")
-    base = base.withColumn("__steps", rf.profile_steps(d, step_m)).withColumn("__bearing", geo.bearing_rad("a_lat", "a_lon", "b_lat", "b_lon"))
-    prof = base.withColumn("__i", F.explode_outer(F.when(F.col("__open") & (F.col("__steps") >= 2), F.sequence(F.lit(1), F.col("__steps") - 1))))
-    prof = prof.withColumn("__s", F.col("__i").cast("double") / F.col("__steps") * d)
-    la, lo = geo.destination("a_lat", "a_lon", "__bearing", "__s")
-    prof = sampler(prof.withColumn("__la", la).withColumn("__lo", lo), "__la", "__lo", "__terr")
-    ground = F.col("__terr") + link["clutter"]
-    out = rf.diffraction_nu("__s", d, ground, F.col("__za") + up(heights[0]), F.col("__zb") + up(rx[1]), f, link["fresnel"])
-    back = rf.diffraction_nu(d - F.col("__s"), d, ground, F.col("__zb") + up(heights[1]), F.col("__za") + up(rx[0]), f, link["fresnel"])
-    got = prof.groupBy(*keep, "dist_m", "fspl", "__open").agg(F.max(out).alias("__out"), F.max(back).alias("__back"))
+    base = base.withColumn("steps", rf.profile_steps(d, step_m)).withColumn("bearing", geo.bearing_rad("a_lat", "a_lon", "b_lat", "b_lon"))
+    rough = base.filter(F.col("__open") & (F.col("steps") >= 2))
+    ends = rough.select(F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon")).union(rough.select("b_lat", "b_lon")).distinct()
+    ends = sample_blocks(ends, terrain, "lat", "lon", "z", size)
+    of = lambda e: ends.select(F.col("lat").alias(f"{e}_lat"), F.col("lon").alias(f"{e}_lon"), F.col("z").alias(f"{e}_z"))
+    lines = rough.join(of("a"), ["a_lat", "a_lon"]).join(of("b"), ["b_lat", "b_lon"])
+    z = {"z_a_tx": F.col("a_z") + up(heights[0]), "z_b_rx": F.col("b_z") + up(rx[1]), "z_b_tx": F.col("b_z") + up(heights[1]), "z_a_rx": F.col("a_z") + up(rx[0])}
+    lines = lines.select(*keep, "a_lat", "a_lon", "bearing", "dist_m", "steps", *[v.alias(k) for k, v in z.items()])
+    dims = {(r.tile_lat, r.tile_lon): r.n for r in terrain.select("tile_lat", "tile_lon", "n").distinct().collect()}
+    where = ["tile_lat", "tile_lon", "by", "bx"]
+    legs = stored(cut_by_block(lines, dims, size), "stretches")
+    copies = legs.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / crowd).cast("int").alias("copies"))
+    legs = legs.join(copies, where).withColumn("copy", F.pmod(F.xxhash64(*keep), F.col("copies")).cast("int")).drop("copies")
+    ground = terrain.select(*where, "n", "w", "z").join(copies, where).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    by = [*where, "copy"]
+    schema = ", ".join([f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in keep] + ["nu_out double", "nu_back double"])
+    found = legs.groupBy(*by).cogroup(ground.groupBy(*by)).applyInArrow(obstructions(keep, link, size), schema)
+    none = F.lit(None).cast("double")
+    every = base.select(*keep, "dist_m", "fspl", "__open", none.alias("nu_out"), none.alias("nu_back")).unionByName(found, allowMissingColumns=True)
+    got = every.groupBy(*keep).agg(*[F.max(c).alias(c) for c in ("dist_m", "fspl", "__open", "nu_out", "nu_back")])
 
     def margin(nu: str) -> Column:
         pr = link["eirp_chain"] - F.col("fspl") - F.coalesce(rf.knife_edge_db(nu), F.lit(0.0))
         return F.when(F.col("__open") & (pr >= link["threshold_dbm"]), pr - link["threshold_dbm"])
 
-    return got.withColumn("forward", margin("__out")).withColumn("reverse", margin("__back")).drop("__out", "__back", "__open")
-
-
-def evaluate(links: DataFrame, sampler, link: dict, step_m: Column, keep: list[str]) -> DataFrame:
-    """Directed links (tx_lat, tx_lon, tx_h, rx_lat, rx_lon, rx_h, dist_m): those in range with margin_db, null where they do not decode."""
-    pairs = links.select(*keep, "dist_m", F.col("tx_lat").alias("a_lat"), F.col("tx_lon").alias("a_lon"), F.col("rx_lat").alias("b_lat"), F.col("rx_lon").alias("b_lon"), F.col("tx_h").alias("a_height_m"), F.col("rx_h").alias("b_height_m"))
-    out = evaluate_pairs(pairs.filter(F.col("dist_m") <= link["max_range_m"]), sampler, link, step_m, keep)
-    return out.filter(link["eirp_chain"] - F.col("fspl") >= link["threshold_dbm"]).withColumn("margin_db", F.col("forward")).drop("forward", "reverse")
+    return got.withColumn("forward", margin("nu_out")).withColumn("reverse", margin("nu_back")).drop("nu_out", "nu_back", "__open")
 
 
 def ring_snap(points: DataFrame, sampler, key: str, radius_m: float, step_m: float) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions import roads as rds
 from ..functions import text as t
 from ..operators import grid_join, terrain
 from ..sources import files
-from ..sources.derived import relation, tile_sampler
+from ..sources.derived import relation, tile_blocks
 from ..sources.shared import shared_path
 from .access import HIKE, MULT, ROLE, hike_edges
 from .geodesy import _hav, r, rd
@@ -198,7 +198,7 @@ def pair_lookups(spark, sf_dir):
 def mesh_at_height(spark, sf_dir):
     """Which pairs would link with all antennas 20 m up."""
     p = site_pairs(spark, sf_dir, 15_000.0).withColumnsRenamed({"a_slug": "a", "b_slug": "b"}).withColumn("h", F.lit(20.0))
-    m = terrain.evaluate_pairs(p, tile_sampler(spark), LINK, F.lit(STEP_M), ["a", "b"], ("h", "h"))
+    m = terrain.evaluate_pairs(p, tile_blocks(spark), LINK, F.lit(STEP_M), ["a", "b"], ("h", "h"))
     return m.select("a", "b", F.lit(20.0).alias("height_m"), (F.col("forward").isNotNull() & F.col("reverse").isNotNull()).alias("mutual"))
 
 

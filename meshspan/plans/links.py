@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import geo as g
 from ..functions import rf
 from ..operators import graph, grid_join, solver, terrain
-from ..sources.derived import duck_height, relation, tile_sampler
+from ..sources.derived import duck_height, relation, tile_blocks
+from ..sources.shared import kept
 from .geodesy import _hav, r, rd
 from .registry import query
 
@@ -65,8 +66,12 @@ def mesh_free_space(spark, sf_dir):
 
 def mesh(spark: SparkSession, sf_dir: str, hop_m: float = 15_000.0) -> DataFrame:
     """Margins of both directions for all site pairs within the hop: a, b, dist_m, forward, reverse."""
-    p = site_pairs(spark, sf_dir, hop_m).withColumnsRenamed({"a_slug": "a", "b_slug": "b"})
-    return terrain.evaluate_pairs(p, tile_sampler(spark), LINK, F.lit(STEP_M), ["a", "b"]).select("a", "b", "dist_m", "forward", "reverse")
+
+    def build():
+        p = site_pairs(spark, sf_dir, hop_m).withColumnsRenamed({"a_slug": "a", "b_slug": "b"})
+        return terrain.evaluate_pairs(p, tile_blocks(spark), LINK, F.lit(STEP_M), ["a", "b"]).select("a", "b", "dist_m", "forward", "reverse")
+
+    return kept(spark, f"mesh of {sf_dir} within {hop_m}", build)
 
 
 def mesh_sql(hop: float) -> str:

@@ -209,16 +209,16 @@ def summit_climbs(spark, sf_dir):
 
 
 def linkable_peaks(spark, sf_dir):
-    """For each supplier's site the highest peaks of 5 km bins within 25 km that would hear it both ways, highest first."""
+    """For each site the highest peaks of 5 km bins within 25 km that would hear it both ways, highest first."""
     cells = tile_rows(spark).select("tile_lat", "tile_lon", "n", "iy", F.posexplode("elev").alias("ix", "z"))
     top = terrain.cell_centre(terrain.local_maxima(cells, 20.0)).select(F.col("z").cast("double").alias("elev_m"), "lat", "lon")
-    s = relation(spark, sf_dir, "sites").filter("seg = 'SUPPLIER'").select("slug", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), F.col("height_m").alias("a_h"))
+    s = relation(spark, sf_dir, "sites").select("slug", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), F.col("height_m").alias("a_h"))
     near = grid_join.within(top, s, 25_000.0, ("lat", "lon"), ("a_lat", "a_lon"))
     x, y = g.mercator("lat", "lon")
     near = near.withColumn("bx", F.floor(x / 5000)).withColumn("by", F.floor(y / 5000))
     best = near.groupBy("slug", "bx", "by").agg(F.min(F.struct((-F.col("elev_m")).alias("k"), "lon", "lat", "dist_m", "a_lat", "a_lon", "a_h")).alias("m"))
     p = best.select("slug", (-F.col("m.k")).alias("elev_m"), F.col("m.lat").alias("b_lat"), F.col("m.lon").alias("b_lon"), "m.dist_m", "m.a_lat", "m.a_lon", "m.a_h", F.lit(6.0).alias("b_h"))
-    m = terrain.evaluate_pairs(p, tile_sampler(spark), LINK, F.lit(STEP_M), ["slug", "elev_m", "b_lat", "b_lon"], ("a_h", "b_h"))
+    m = terrain.evaluate_pairs(p, tile_blocks(spark), LINK, F.lit(STEP_M), ["slug", "elev_m", "b_lat", "b_lon"], ("a_h", "b_h"))
     ok = m.filter("forward is not null and reverse is not null")
     return ok.select("slug", "elev_m", r(F.col("b_lat"), 6).alias("lat"), r(F.col("b_lon"), 6).alias("lon"), r(F.least("forward", "reverse"), 3).alias("margin_db"))
 

@@ -115,8 +115,8 @@ def duck_height(lat: str, lon: str) -> str:
     return f"(({z(0, 0)} * (1 - {tx}) + {z(0, 1)} * {tx}) * (1 - {ty}) + ({z(1, 0)} * (1 - {tx}) + {z(1, 1)} * {tx}) * {ty})"
 
 
-def dem_rows(spark: SparkSession, lat_tiles=range(36, 41), lon_tiles=range(-119, -114), n: int = GRID + 1) -> DataFrame:
-    """The synthetic terrain as scanlines, row 0 north."""
+def dem_rows(spark: SparkSession, lat_tiles=range(35, 42), lon_tiles=range(-120, -113), n: int = GRID + 1) -> DataFrame:
+    """The synthetic terrain as scanlines, row 0 north: the tiles with places and one ring of tiles around them."""
     tiles = spark.createDataFrame([(a, b) for a in lat_tiles for b in lon_tiles], "tile_lat int, tile_lon int")
     rows = tiles.crossJoin(F.broadcast(spark.range(n).select(F.col("id").cast("int").alias("iy"))))  # n rows
     i = (F.col("tile_lat") + 91) * (n - 1) - F.col("iy")

@@ -168,3 +168,16 @@ def test_tile_names(spark):
     b = geo.radius_bbox(F.lit(36.99), F.lit(-116.01), F.lit(5000.0))
     got = spark.range(1).select(geo.tiles_of_bbox(b["south"], b["north"], b["west"], b["east"])).first()[0]
     assert got == ["N36W116", "N36W117", "N37W116", "N37W117"]
+
+
+def test_components_take_logarithmic_rounds(spark, monkeypatch):
+    """A path of 10,000 random ids: few rounds of three cuts each, whatever the order of ids."""
+    import random
+
+    ids = random.Random(4).sample(range(1 << 40), 10_000)
+    df = spark.createDataFrame(list(zip(ids, ids[1:])) + [(5 << 41, 5 << 41)], "src long, dst long")
+    cuts, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda d: (cuts.append(1), real(d))[1])
+    got = {r.node: r.component for r in graph.components(df).collect()}
+    assert got == {i: min(ids) for i in ids} | {5 << 41: 5 << 41}
+    assert (len(cuts) - 2) / 3 < 20

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .geo import lit
+from .geo import lit, rounded
 
 
 def slug(name) -> Column:
@@ -131,8 +131,14 @@ def line_digest(layer, points) -> Column:
     return F.sha2(F.concat(lit(layer).cast("string"), F.lit("|"), F.array_join(pts, ";")), 256)
 
 
+#: Fixed value: the line of a hike report.
+HIKE_REPORT = "=== Hike profile: %s === 3D distance: %.0f m | Gain: %.0f m | Loss: %.0f m | Max grade: %.1f%%"
+
+
 def hike_report(name, length_m, gain_m, loss_m, max_grade) -> Column:
-    return F.format_string("=== Hike profile: %s === 3D distance: %.0f m | Gain: %.0f m | Loss: %.0f m | Max grade: %.1f%%", lit(name), lit(length_m), lit(gain_m), lit(loss_m), lit(max_grade))
+    """The report's line; numbers are rounded half up to the places printed, so printing has nothing left to decide."""
+    shown = [rounded(lit(c), 0) for c in (length_m, gain_m, loss_m)] + [rounded(lit(max_grade), 1)]
+    return F.format_string(HIKE_REPORT, lit(name), *shown)
 
 
 def canonical_json(value: Column) -> Column:

@@ -15,21 +15,29 @@ MAX_DEPTH = 32
 
 
 def chain(start: str, goals: set[str], hears: dict[str, list[tuple[float, str]]], depth: int = MAX_DEPTH) -> list[str] | None:
-    """Relays from ``start`` to the first that covers the goal; nearest-to-goal first, each tried once."""
-    path, tried = [start], {start}
+    """Relays from ``start`` to the first that covers the goal, at most ``depth`` links away; nearest-to-goal first.
+
+    A site on the way is not met twice.  A link that led nowhere is not tried
+    again, from whichever side its site is reached later; the site itself may be.
+    """
+    path, on, failed = [start], {start}, set()
 
     def go() -> bool:
-        if path[-1] in goals:
+        here = path[-1]
+        if here in goals:
             return True
-        if len(path) >= depth:
+        if len(path) > depth:
             return False
-        for _, nxt in hears.get(path[-1], ()):
-            if nxt not in tried:
-                tried.add(nxt)
-                path.append(nxt)
-                if go():
-                    return True
-                path.pop()
+        for _, nxt in hears.get(here, ()):
+            if nxt in on or (here, nxt) in failed:
+                continue
+            on.add(nxt)
+            path.append(nxt)
+            if go():
+                return True
+            failed.add((here, nxt))
+            path.pop()
+            on.remove(nxt)
         return False
 
     return path if go() else None

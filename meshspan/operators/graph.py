@@ -68,6 +68,51 @@ def reach(edges: DataFrame, sources: DataFrame, cap: float | None = None, key: l
     return best if late is None else cut(best.join(late.select(*at), at, "left_anti").union(late))
 
 
+def budget_reach(edges: DataFrame, sources: DataFrame, caps: list[int], overall: int) -> DataFrame:
+    """The best ways to each node under a cap on the length driven on each class of road, and on all of it.
+
+    ``edges`` are directed (src, dst, cost, length, cls), whole numbers, cls from 0
+    to len(caps) - 1.  A way is (node, cost, used array<long>, prev_node, prev_cost,
+    prev_used); a node keeps every way that no other beats on cost and on each
+    class, since a dearer one may have budget left where it matters.  Rounds carry
+    only ways that are new, and look at the nodes they reach.
+    """
+    none = lambda t: F.lit(None).cast(t)
+    zero = F.array(*[F.lit(0).cast("long") for _ in caps])
+    prev = ("prev_node", "prev_cost", "prev_used")
+    best = cut(sources.select("node", F.lit(0).cast("long").alias("cost"), zero.alias("used"), none("long").alias("prev_node"), none("long").alias("prev_cost"), none("array<long>").alias("prev_used")).distinct())
+    front = best
+    limit = F.array(*[F.lit(int(c)) for c in caps])
+    while True:
+        e = edges.select(F.col("src").alias("node"), "dst", F.col("cost").alias("w"), "length", "cls")
+        used = F.transform("used", lambda u, i: u + F.when(i == F.col("cls"), F.col("length")).otherwise(0))
+        step = front.join(e, "node").select(F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), used.alias("used"), F.col("node").alias("prev_node"), F.col("cost").alias("prev_cost"), F.col("used").alias("prev_used"), "cls")
+        step = step.filter((F.element_at("used", F.col("cls") + 1) <= F.element_at(limit, F.col("cls") + 1)) & (F.aggregate("used", F.lit(0).cast("long"), lambda s, u: s + u) <= overall))
+        step = step.groupBy("node", "used").agg(F.min(F.struct("cost", *prev)).alias("m")).select("node", "m.cost", "used", *[f"m.{c}" for c in prev], F.lit(1).alias("new"))
+        met = best.join(step.select("node").distinct(), "node", "left_semi").withColumn("new", F.lit(0))
+        both = met.unionByName(step).groupBy("node", "used").agg(F.min(F.struct("cost", "new", *prev)).alias("m")).select("node", F.struct("m.cost", "used", "m.new", *[f"m.{c}" for c in prev]).alias("way"))
+        beats = lambda y, x: (y["cost"] <= x["cost"]) & (y["used"] != x["used"]) & F.forall(F.zip_with(y["used"], x["used"], lambda a, b: a <= b), lambda ok: ok)
+        kept = both.groupBy("node").agg(F.collect_list("way").alias("ways"))
+        kept = cut(kept.select("node", F.explode(F.filter("ways", lambda x: ~F.exists("ways", lambda y: beats(y, x)))).alias("x")).select("node", "x.cost", "x.used", *[f"x.{c}" for c in prev], "x.new"))
+        front = kept.filter("new = 1").drop("new")
+        if front.isEmpty():
+            return best
+        best = cut(best.join(kept.select("node").distinct(), "node", "left_anti").unionByName(kept.drop("new")))
+
+
+def budget_paths(ways: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, step, node): for each target (column node) its cheapest way, from the target back to its source."""
+    cheap = ways.join(targets.select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("cost", "used")).alias("m"))
+    tip = cut(cheap.select(F.col("node").alias("target"), F.lit(0).alias("step"), "node", "m.cost", "m.used"))
+    out = tip
+    while True:
+        up = tip.join(ways, ["node", "cost", "used"]).filter("prev_node is not null")
+        tip = cut(up.select("target", (F.col("step") + 1).alias("step"), F.col("prev_node").alias("node"), F.col("prev_cost").alias("cost"), F.col("prev_used").alias("used")))
+        if tip.isEmpty():
+            return out.select("target", "step", "node")
+        out = out.union(tip)
+
+
 def paths(tree: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, step, node): the way from each target (column node) back to its source in a ``reach`` tree."""
     walk = targets.select(F.col("node").alias("target"), F.lit(0).alias("step"), "node").join(tree.select("node"), "node", "left_semi").select("target", "step", "node")

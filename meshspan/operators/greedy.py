@@ -133,22 +133,27 @@ def dedup_higher(df: DataFrame, group: list[str], order: list[str], min_m: float
     return df.groupBy(*group).applyInPandas(run, schema)
 
 
-def diverse_routes(df: DataFrame, group: list[str], order: list[str], peaks: str = "peaks", cap: int | None = None) -> DataFrame:
-    """Per group, in order: a route is ``is_unique`` unless it shares a peak with an earlier unique one."""
-    schema = T.StructType([*df.schema.fields, T.StructField("is_unique", T.BooleanType())])
+def diverse_routes(df: DataFrame, group: list[str], order: list[str], peaks: str = "peaks") -> DataFrame:
+    """Per group, in order: a route is ``is_unique`` unless it shares a peak with an earlier unique one.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        pdf = pdf if cap is None else pdf.head(cap)
-        seen, out = set(), []
-        for p in pdf[peaks]:
-            fresh = not (set(p) & seen)
-            out.append(fresh)
-            if fresh:
-                seen |= set(p)
-        return pdf.assign(is_unique=out)
-
-    return df.groupBy(*group).applyInPandas(run, schema)
+    ``order`` tells routes of a group apart.  All groups go on together in rounds:
+    a route that is first at every peak it has is unique, and it and all that
+    share a peak with it leave.  The result is that of one pass in order, the
+    number of rounds about the logarithm of the routes.
+    """
+    rank = F.struct(*order)
+    stops = df.select(*group, rank.alias("rank"), F.explode(F.array_distinct(peaks)).alias("peak"))
+    left, out = graph.cut(stops), df.filter(F.coalesce(F.size(peaks), F.lit(0)) < 1).select(*group, rank.alias("rank"))
+    while not left.isEmpty():
+        first = left.groupBy(*group, "peak").agg(F.min("rank").alias("first"))
+        free = left.join(first, [*group, "peak"]).groupBy(*group, "rank").agg(F.bool_and(F.col("rank") == F.col("first")).alias("free"))
+        won = graph.cut(free.filter("free").select(*group, "rank"))
+        out = out.union(won)
+        taken = left.join(won, [*group, "rank"], "left_semi").select(*group, "peak").distinct()
+        gone = left.join(taken, [*group, "peak"], "left_semi").select(*group, "rank").distinct()
+        left = graph.cut(left.join(gone, [*group, "rank"], "left_anti"))
+    won = out.select(*group, "rank", F.lit(True).alias("won"))
+    return df.withColumn("rank", rank).join(won, [*group, "rank"], "left").select(*df.columns, F.coalesce("won", F.lit(False)).alias("is_unique"))
 
 
 def thin_along(df: DataFrame, group: list[str], order: str, min_m: float, keep_last_m: float | None = None) -> DataFrame:

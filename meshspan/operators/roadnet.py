@@ -106,6 +106,28 @@ def anchors(edges: DataFrame, paved_classes=roads.MAJOR) -> DataFrame:
     return paved.select(F.col("src").alias("node")).union(paved.select("dst")).distinct()
 
 
+def drive_lines(tree: DataFrame, edges: DataFrame, nodes: DataFrame, targets: DataFrame, paved_classes=roads.MAJOR) -> DataFrame:
+    """The drive to each target (column node) in a ``reach`` tree: start, drive_m, rough_m and the lines that leave pavement.
+
+    ``line`` has the vertices (step, lat, lon) of the stretches that are not paved
+    anchor roads, from the start on; ``drive_m`` is the whole way, ``rough_m`` theirs.
+    """
+    at = nodes.select("node", "lat", "lon")
+    way = graph.paths(tree, targets.select("node").distinct())
+    last = way.groupBy("target").agg(F.max("step").alias("last"), F.max_by("node", "step").alias("start"))
+    hop = way.select("target", "step", F.col("node").alias("far")).join(way.select("target", (F.col("step") - 1).alias("step"), F.col("node").alias("near")), ["target", "step"])
+    hop = hop.withColumn("src", F.least("near", "far")).withColumn("dst", F.greatest("near", "far"))
+    paved = roads.is_paved_anchor("highway", "surface", paved_classes)
+    hop = hop.join(edges.select("src", "dst", "length_m", paved.alias("paved")), ["src", "dst"]).join(last.select("target", "last"), "target")
+    ends = hop.filter("not paved").select("target", F.explode(F.array(F.struct((F.col("last") - F.col("step") - 1).alias("step"), F.col("near").alias("node")), F.struct((F.col("last") - F.col("step")).alias("step"), F.col("far").alias("node")))).alias("e"))
+    ends = ends.select("target", "e.step", "e.node").distinct().join(at, "node")
+    line = ends.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("step", "lat", "lon"))).alias("line"))
+    sums = hop.groupBy("target").agg(F.sum("length_m").alias("drive_m"), F.sum(F.when(~F.col("paved"), F.col("length_m")).otherwise(0.0)).alias("rough_m"))
+    out = last.join(sums, "target", "left").join(line, "target", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    return out.select(F.col("target").alias("node"), "start", zero("drive_m"), zero("rough_m"), F.coalesce("line", F.array().cast("array<struct<step:int,lat:double,lon:double>>")).alias("line"))
+
+
 def strokes(edges: DataFrame, nodes: DataFrame, most_deg: float = 50.0) -> DataFrame:
     """(src, dst, stroke): edges that run on into each other share a stroke, named by its smallest edge.
 

@@ -1,53 +1,92 @@
-"""Routes of a wanted number of hops between two sites.
+"""Routes of the fewest hops between two sites, counted and listed.
 
-Hops are tried in rising number.  For each, simple paths grow from both ends,
-half the hops each, and meet in the middle; a path is only grown to a site from
-which the other end is still within the hops left, each at most ``hop_m`` long.
-Pairs that have a route leave; so the work is that of the shortest answers.
+All wanted pairs go on together, a layer of sites a round.  A site is entered in
+the first layer that reaches it, and only if the other end is still within the
+hops left, each at most ``hop_m`` long; so a layer is one grouped join, whose rows
+carry the number of ways and the shortest one, never the ways themselves.  A way
+of the fewest hops meets no site twice.  Pairs that have met leave; the search of
+the others deepens up to their own bound.
+
+Listing walks the layers back from the far end, so that only links on a way of
+the fewest hops are left, and then forward with the best ``k`` ways to each site:
+the best ways onward are among them, so no others are built.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
 from .graph import cut
 
+PAIR = ["a_slug", "b_slug"]
 
-def _grow(want: DataFrame, arcs: DataFrame, start: str, goal: str, hops: int, steps: int, hop_m: float) -> DataFrame:
-    """Simple paths of ``steps`` arcs from one end of each wanted pair: tip, path, d."""
-    out = want.select("*", F.col(f"{start}_slug").alias("tip"), F.array(f"{start}_slug").alias("path"), F.lit(0.0).alias("d"))
-    keep = [c for c in want.columns]
-    for step in range(1, steps + 1):
-        out = out.join(arcs, out.tip == arcs.x_slug).filter(~F.array_contains("path", F.col("y_slug")))
-        if step < hops:  # the far end closes a path, it is never on the way
-            out = out.filter(F.col("y_slug") != F.col(f"{goal}_slug"))
-        left = haversine_m("y_lat", "y_lon", f"{goal}_lat", f"{goal}_lon")
-        out = out.filter(left <= (hops - step) * hop_m + 1)
-        out = out.select(*keep, F.col("y_slug").alias("tip"), F.array_append("path", F.col("y_slug")).alias("path"), (F.col("d") + F.col("w")).alias("d"))
-    return out
+
+def hop_bounds(dist_m, hop_m: float) -> tuple[Column, Column]:
+    """The least hops that a distance takes, and the most that are tried: four more, eight at most."""
+    least = F.greatest(F.ceil(F.col(dist_m) / hop_m), F.lit(1)).cast("int")
+    return least, F.least(least + 4, F.lit(8)).cast("int")
 
 
-def paths(want: DataFrame, arcs: DataFrame, hops: int, hop_m: float) -> DataFrame:
-    """All simple paths of exactly ``hops`` arcs: the pair, path (array of slugs) and length d."""
-    want = want.filter(haversine_m("a_lat", "a_lon", "b_lat", "b_lon") <= hops * hop_m + 1)
-    ahead = (hops + 1) // 2
-    front = _grow(want, arcs, "a", "b", hops, ahead, hop_m)
-    back = _grow(want, arcs, "b", "a", hops, hops - ahead, hop_m).select(F.col("a_slug").alias("ea"), F.col("b_slug").alias("eb"), F.col("tip").alias("et"), F.col("path").alias("tail"), F.col("d").alias("dt"))
-    met = front.join(back, (F.col("a_slug") == F.col("ea")) & (F.col("b_slug") == F.col("eb")) & (F.col("tip") == F.col("et")))
-    met = met.withColumn("path", F.concat("path", F.slice(F.reverse("tail"), 2, hops))).filter(F.size(F.array_distinct("path")) == hops + 1)
-    return met.select(*want.columns, "path", (F.col("d") + F.col("dt")).alias("d"))
+def _layers(want: DataFrame, arcs: DataFrame, hop_m: float, most: int | None) -> tuple[list[DataFrame], DataFrame]:
+    """The links that enter each layer (a_slug, b_slug, x, y, w), and what has met (a_slug, b_slug, hops, routes, best_m)."""
+    if most is None:
+        dist = want.withColumn("__d", haversine_m("a_lat", "a_lon", "b_lat", "b_lon"))
+        least, bound = hop_bounds("__d", hop_m)
+        want = dist.withColumn("most", F.when(least <= bound, bound).otherwise(0)).drop("__d")
+    else:
+        want = want.withColumn("most", F.lit(most))
+    keep = [*PAIR, "b_lat", "b_lon", "most"]
+    front = cut(want.filter("most > 0").select(*keep, F.col("a_slug").alias("node"), F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("d")))
+    seen, links, met, arcs = front.select(*PAIR, "node"), [], None, cut(arcs)
+    while not front.isEmpty():
+        depth = len(links) + 1
+        step = front.join(arcs, front.node == arcs.x_slug).filter(F.col("most") >= depth)
+        step = step.filter(haversine_m("y_lat", "y_lon", "b_lat", "b_lon") <= (F.col("most") - depth) * hop_m + 1)
+        step = cut(step.join(seen.withColumnRenamed("node", "y_slug"), [*PAIR, "y_slug"], "left_anti"))
+        links.append(step.select(*PAIR, F.col("node").alias("x"), F.col("y_slug").alias("y"), "w"))
+        layer = step.groupBy(*keep, F.col("y_slug").alias("node")).agg(F.sum("n").alias("n"), F.min(F.col("d") + F.col("w")).alias("d"))
+        hit = cut(layer.filter("node = b_slug").select(*PAIR, F.lit(depth).alias("hops"), F.col("n").alias("routes"), F.col("d").alias("best_m")))
+        met = hit if met is None else met.union(hit)
+        front = cut(layer.join(hit, PAIR, "left_anti"))
+        seen = seen.union(front.select(*PAIR, "node"))
+    if met is None:
+        met = want.limit(0).select(*PAIR, F.lit(0).alias("hops"), F.lit(0).cast("long").alias("routes"), F.lit(0.0).alias("best_m"))
+    return links, met
 
 
-def fewest_hops(want: DataFrame, arcs: DataFrame, hop_m: float, most: int) -> DataFrame:
-    """For each wanted pair (a_slug, a_lat, a_lon, b_...) that ``most`` hops connect: hops, routes, best_m.
+def fewest_hops(want: DataFrame, arcs: DataFrame, hop_m: float, most: int | None = None) -> DataFrame:
+    """For each wanted pair (a_slug, a_lat, a_lon, b_...): hops, routes, best_m; hops and best_m are null and routes 0 where the bound is not enough.
 
-    ``arcs`` hold both directions (x_slug, y_slug, y_lat, y_lon, w).
+    ``arcs`` hold both directions (x_slug, y_slug, y_lat, y_lon, w).  ``most`` bounds
+    the hops of every pair; without it the bound comes from each pair's distance.
     """
-    left, arcs, out = cut(want), cut(arcs), None
-    for hops in range(1, most + 1):
-        one = cut(paths(left, arcs, hops, hop_m).groupBy("a_slug", "b_slug").agg(F.count("*").alias("routes"), F.min("d").alias("best_m")).withColumn("hops", F.lit(hops)))
-        out = one if out is None else out.union(one)
-        left = cut(left.join(one, ["a_slug", "b_slug"], "left_anti"))
+    _, met = _layers(want, arcs, hop_m, most)
+    out = want.select(*PAIR).distinct().join(met, PAIR, "left")
+    return out.select(*PAIR, "hops", F.coalesce("routes", F.lit(0).cast("long")).alias("routes"), "best_m")
+
+
+def list_paths(want: DataFrame, arcs: DataFrame, hop_m: float, most: int | None = None, k: int = 500) -> DataFrame:
+    """The ``k`` shortest routes of the fewest hops for each wanted pair: rank, path (array of slugs), d; ties by path."""
+    links, met = _layers(want, arcs, hop_m, most)
+    met = cut(met)
+    on, ways = None, []
+    for depth in range(len(links), 0, -1):
+        goal = met.filter(F.col("hops") == depth).select(*PAIR, F.col("b_slug").alias("y"))
+        on = goal if on is None else on.union(goal)
+        here = cut(links[depth - 1].join(on, [*PAIR, "y"], "left_semi"))
+        ways.insert(0, here)
+        on = here.select(*PAIR, F.col("x").alias("y")).distinct()
+    best, out = want.select(*PAIR, F.col("a_slug").alias("node"), F.lit(0.0).alias("d"), F.array("a_slug").alias("path")).distinct(), None
+    for here in ways:
+        step = best.join(here.withColumnRenamed("x", "node"), [*PAIR, "node"])
+        step = step.select(*PAIR, F.col("y").alias("node"), (F.col("d") + F.col("w")).alias("d"), F.array_append("path", F.col("y")).alias("path"))
+        rank = F.row_number().over(Window.partitionBy(*PAIR, "node").orderBy("d", "path"))
+        step = cut(step.withColumn("rank", rank).filter(F.col("rank") <= k))
+        done = step.filter("node = b_slug").select(*PAIR, "rank", "path", "d")
+        out = done if out is None else out.union(done)
+        best = step.filter("node <> b_slug").drop("rank")
+    if out is None:
+        return want.limit(0).select(*PAIR, F.lit(0).alias("rank"), F.array("a_slug").alias("path"), F.lit(0.0).alias("d"))
     return out

@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import R_GROUND, R_RADIO
+from ..functions.geo import R_GROUND, R_RADIO, mercator
 from ..functions.rf import EFFECTIVE_EARTH_M, LIGHT_M_S
+from .graph import cut
 from .terrain import BLOCK, VOID
 
 
@@ -171,6 +172,78 @@ def coverage(sites: DataFrame, blocks: DataFrame, link: dict, radius_m: float, w
     return met.groupBy("slug").applyInArrow(run, "slug string, x int, y int, pr_dbm double")
 
 
-def union_gain(covered: DataFrame, chains: DataFrame) -> DataFrame:
-    """Cells that a chain's sites cover together, by cell index: chains (chain, slug) to (chain, cells)."""
-    return chains.join(covered.select("slug", "x", "y"), "slug").select("chain", "x", "y").distinct().groupBy("chain").agg(F.count("*").alias("cells"))
+def raster_masks(covered: DataFrame, width: int) -> DataFrame:
+    """Covered pixels packed: (slug, part, mask), a bit a pixel of the site's own raster, row by row."""
+    bit = F.col("y").cast("long") * width + F.col("x")
+    return covered.groupBy("slug", F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("mask"))
+
+
+def union_gain(masks: DataFrame, chains: DataFrame) -> DataFrame:
+    """Pixels that a chain's sites cover by pixel number: ``raster_masks`` and chains (chain, slug) to (chain, cells).
+
+    Two rasters are laid on each other as they are, though they show different
+    ground: the measure breaks ties between chains and is no area.  ``ground_masks``
+    unites what lies on the same ground.
+    """
+    parts = chains.join(masks, "slug").groupBy("chain", "part").agg(F.bitmap_count(F.bitmap_or_agg("mask")).alias("n"))
+    return parts.groupBy("chain").agg(F.sum("n").alias("cells"))
+
+
+GROUND = 181  # cells of a side of one mask: as many as fit its 32,768 bits
+
+
+def ground_masks(covered: DataFrame, sites: DataFrame, radius_m: float, width: int, cell_m: float) -> DataFrame:
+    """(slug, gx, gy, mask): the Mercator cells, ``cell_m`` wide at the equator, in which the centre of a covered pixel lies.
+
+    All sites share the cells, so masks of the same (gx, gy) may be united and counted.
+    """
+    half = radius_m / R_RADIO * 180 / math.pi
+    wide = half / F.greatest(F.cos(F.radians("lat")), F.lit(0.01))
+    c = covered.select("slug", "x", "y").join(sites.select("slug", "lat", "lon"), "slug")
+    at_lat = F.col("lat") + half - (F.col("y") + 0.5) / width * 2 * half
+    at_lon = F.col("lon") - wide + (F.col("x") + 0.5) / width * 2 * wide
+    mx, my = mercator(at_lat, at_lon)
+    c = c.select("slug", F.floor(mx / cell_m).alias("cx"), F.floor(my / cell_m).alias("cy"))
+    bit = F.pmod(F.col("cy"), F.lit(GROUND)) * GROUND + F.pmod(F.col("cx"), F.lit(GROUND))
+    return c.groupBy("slug", F.floor(F.col("cx") / GROUND).alias("gx"), F.floor(F.col("cy") / GROUND).alias("gy")).agg(F.bitmap_construct_agg(bit).alias("mask"))
+
+
+def union_cells(masks: DataFrame, chains: DataFrame) -> DataFrame:
+    """Cells of ground that a chain's sites cover together: ``ground_masks`` and chains (chain, slug) to (chain, cells)."""
+    parts = chains.join(masks, "slug").groupBy("chain", "gx", "gy").agg(F.bitmap_count(F.bitmap_or_agg("mask")).alias("n"))
+    return parts.groupBy("chain").agg(F.sum("n").alias("cells"))
+
+
+def best_additions(masks: DataFrame, most: int, batch: int = 64) -> DataFrame:
+    """(rank, slug, gain, total): up to ``most`` sites, each the one that adds the most ground to those before it; ties to the smaller slug.
+
+    What a site adds only falls as others are taken, so its last known gain is a
+    bound.  A round measures the ``batch`` sites of the highest bounds on their
+    packed masks, and takes the best of them once no other site's bound is above
+    it; sites that stay behind are not looked at again.
+    """
+    spark = masks.sparkSession
+    masks = cut(masks)
+    bounds = cut(masks.groupBy("slug").agg(F.sum(F.bitmap_count("mask")).alias("bound")).withColumn("as_of", F.lit(0)))
+    have = cut(masks.limit(0).select("gx", "gy", "mask"))
+    picked, total = [], 0
+    while len(picked) < most:
+        top = bounds.orderBy(F.desc("bound"), "slug").limit(batch).collect()  # a batch of slugs and numbers
+        if not top or top[0].bound <= 0:
+            break
+        stale = [r.slug for r in top if r.as_of < len(picked)]
+        if top[0].as_of == len(picked):  # the highest bound is exact: nothing else can beat it
+            best = top[0]
+            total += best.bound
+            picked.append((len(picked) + 1, best.slug, best.bound, total))
+            have = cut(have.union(masks.filter(F.col("slug") == best.slug).select("gx", "gy", "mask")).groupBy("gx", "gy").agg(F.bitmap_or_agg("mask").alias("mask")))
+            bounds = bounds.filter(F.col("slug") != best.slug)
+            continue
+        some = masks.filter(F.col("slug").isin(stale))
+        there = some.select("slug", "gx", "gy").join(have, ["gx", "gy"])
+        both = some.unionByName(there).groupBy("slug", "gx", "gy").agg(F.bitmap_count(F.bitmap_or_agg("mask")).alias("n"))
+        before = there.select("slug", F.bitmap_count("mask").alias("was")).groupBy("slug").agg(F.sum("was").alias("was"))
+        gain = both.groupBy("slug").agg(F.sum("n").alias("n")).join(before, "slug", "left").select("slug", (F.col("n") - F.coalesce("was", F.lit(0).cast("long"))).alias("gain"))
+        new = bounds.join(gain, "slug", "left")
+        bounds = cut(new.select("slug", F.coalesce("gain", "bound").alias("bound"), F.when(F.col("gain").isNotNull(), len(picked)).otherwise(F.col("as_of")).alias("as_of")))
+    return spark.createDataFrame(picked, "rank int, slug string, gain long, total long")

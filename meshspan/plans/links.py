@@ -161,23 +161,45 @@ def fortify_candidates(spark, sf_dir):
     return out
 
 
-EDGE = f"edge AS (SELECT a, b, d FROM pair WHERE {_free('d')} >= 24)"
+def _solver_sql(hop: float) -> str:
+    """Layers of sites from each wanted pair's first end over mutual links, each with its ways and the shortest of them."""
+    lay = "want AS (SELECT *, CASE WHEN l0 <= 8 THEN least(l0 + 4, 8) ELSE 0 END AS most FROM (SELECT a.slug AS a, b.slug AS b, b.lat AS tla, b.lon AS tlo, CAST(greatest(ceil(DIST / HOP), 1) AS INT) AS l0 FROM {sites} a JOIN {sites} b ON b.k = a.k + 5)), place AS (SELECT slug, lat, lon FROM {sites}), arc AS MATERIALIZED (SELECT x, y, d, lat AS yla, lon AS ylo FROM (SELECT a AS x, b AS y, d FROM mesh WHERE fwd IS NOT NULL AND rev IS NOT NULL UNION ALL SELECT b, a, d FROM mesh WHERE fwd IS NOT NULL AND rev IS NOT NULL) JOIN place ON slug = y), l0 AS (SELECT a, b, tla, tlo, most, a AS node, 1::BIGINT AS n, 0::DOUBLE AS d FROM want WHERE most > 0)"
+    for i in range(8):
+        seen = " AND ".join(f"NOT EXISTS (SELECT 1 FROM l{j} s WHERE s.a = f.a AND s.b = f.b AND s.node = arc.y)" for j in range(i + 1))
+        lay += f", l{i + 1} AS MATERIALIZED (SELECT f.a, f.b, tla, tlo, most, arc.y AS node, CAST(sum(n) AS BIGINT) AS n, min(f.d + arc.d) AS d FROM l{i} f JOIN arc ON arc.x = f.node WHERE f.node <> f.b AND NOT EXISTS (SELECT 1 FROM l{i} h WHERE h.a = f.a AND h.b = f.b AND h.node = h.b) AND most >= {i + 1} AND LEFT <= (most - {i + 1}) * HOP + 1 AND {seen} GROUP BY ALL)"
+    lay = lay.replace("DIST", _hav("a.lat", "a.lon", "b.lat", "b.lon", "6378137.0::DOUBLE")).replace("LEFT", _hav("arc.yla", "arc.ylo", "tla", "tlo", "6378137.0::DOUBLE")).replace("HOP", f"{hop}::DOUBLE")
+    hit = " UNION ALL ".join(f"SELECT a, b, {i} AS hops, n, d FROM l{i} WHERE node = b" for i in range(1, 9))
+    return f"{mesh_sql(hop)}, {lay}, hit AS ({hit})"
+
+
+def mesh_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links that both ends hear, both ways round, with the place of the far end."""
+    m = mesh(spark, sf_dir).filter("forward is not null and reverse is not null")
+    place = relation(spark, sf_dir, "sites").select(F.col("slug").alias("y_slug"), F.col("lat").alias("y_lat"), F.col("lon").alias("y_lon"))
+    both = m.select(F.col("a").alias("x_slug"), F.col("b").alias("y_slug"), F.col("dist_m").alias("w")).union(m.select("b", "a", "dist_m"))
+    return both.join(place, "y_slug")
+
+
+def wanted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = relation(spark, sf_dir, "sites").select("k", "slug", "lat", "lon")
+    near, far = ([F.col(c).alias(f"{t}{c}") for c in ("slug", "lat", "lon")] for t in ("a_", "b_"))
+    return s.select("k", *near).join(s.select((F.col("k") - 5).alias("k"), *far), "k").drop("k")
 
 
-@query(f"WITH RECURSIVE {pairs_sql(12000)}, {EDGE}, arc AS (SELECT a AS x, b AS y, d FROM edge UNION ALL SELECT b, a, d FROM edge), want AS (SELECT a.slug AS a, b.slug AS b FROM {{sites}} a JOIN {{sites}} b ON b.k = a.k + 5), walk AS (SELECT a, b, a AS tip, [a] AS path, 0.0::DOUBLE AS d, 0 AS hops FROM want UNION ALL SELECT w.a, w.b, y, list_append(path, y), w.d + arc.d, hops + 1 FROM walk w JOIN arc ON arc.x = w.tip WHERE hops < 4 AND tip <> b AND NOT list_contains(path, y)), hit AS (SELECT a, b, hops, count(*) AS n, min(d) AS d FROM walk WHERE tip = b GROUP BY 1, 2, 3), least AS (SELECT a, b, min(hops) AS hops FROM hit GROUP BY 1, 2) SELECT a, b, CAST(hops AS INTEGER) AS hops, n AS routes, least(n, 500) AS listed, {rd('d / 1000', 3)} AS best_km FROM hit JOIN least USING (a, b, hops)")
+@query(f"WITH {_solver_sql(15000.0)} SELECT w.a, w.b, CAST(hops AS INTEGER) AS hops, coalesce(n, 0) AS routes, least(coalesce(n, 0), 500) AS listed, {rd('d / 1000', 3)} AS best_km FROM want w LEFT JOIN hit h ON h.a = w.a AND h.b = w.b")
 def solver_routes(spark, sf_dir):
-    """For each wanted pair of sites the routes of the fewest hops, four at most, counted, with the shortest."""
-    e = site_pairs(spark, sf_dir, 12_000.0)
-    e = e.filter(free_margin("dist_m") >= 24)
-    ends = lambda x, y: e.select(*[F.col(f"{s}_{c}").alias(f"{t}_{c}") for s, t in ((x, "x"), (y, "y")) for c in ("slug", "lat", "lon")], F.col("dist_m").alias("w"))
-    arcs = ends("a", "b").union(ends("b", "a"))
-    s = relation(spark, sf_dir, "sites").select("k", "slug", "lat", "lon")
-    near, far = ([F.col(c).alias(f"{t}{c}") for c in ("slug", "lat", "lon")] for t in ("a_", "b_"))
-    want = s.select("k", *near).join(s.select((F.col("k") - 5).alias("k"), *far), "k").drop("k")
-    out = solver.fewest_hops(want, arcs, 12_000.0, 4)
+    """For each wanted pair of sites the routes of the fewest hops over the terrain mesh, counted, with the shortest; none within the bound by distance: null hops."""
+    out = solver.fewest_hops(wanted_pairs(spark, sf_dir), mesh_arcs(spark, sf_dir), 15_000.0)
     return out.select(F.col("a_slug").alias("a"), F.col("b_slug").alias("b"), "hops", "routes", F.least(F.col("routes"), F.lit(500)).alias("listed"), r(F.col("best_m") / 1000).alias("best_km"))
 
 
+@query()
+def solver_paths(spark, sf_dir):
+    """The first 500 routes of ``solver_routes`` of each pair, shortest first."""
+    out = solver.list_paths(wanted_pairs(spark, sf_dir), mesh_arcs(spark, sf_dir), 15_000.0)
+    return out.select(F.col("a_slug").alias("a"), F.col("b_slug").alias("b"), "rank", F.array_join("path", ">").alias("path"), r(F.col("d") / 1000).alias("km"))
+
+
 @query(f"SELECT a.slug AS a, p.slug AS peak, {rd(_hav('a.lat', 'a.lon', 'p.lat', 'p.lon', '6378137.0::DOUBLE') + ' + ' + _hav('p.lat', 'p.lon', 'b.lat', 'b.lon', '6378137.0::DOUBLE'), 1)} AS via_m FROM {{sites}} a JOIN {{sites}} b ON b.k = a.k + 5 JOIN {{peaks}} p ON p.eligible WHERE {rd(_hav('a.lat', 'a.lon', 'p.lat', 'p.lon', '6378137.0::DOUBLE') + ' + ' + _hav('p.lat', 'p.lon', 'b.lat', 'b.lon', '6378137.0::DOUBLE'), 1)} <= 4 * 15000 + 1 AND p.slug <> a.slug")
 def solver_ellipse(spark, sf_dir):
     s = relation(spark, sf_dir, "sites")

@@ -247,6 +247,75 @@ def trail_closest_approach(spark, sf_dir):
     return best.select("k", "m.node", r(F.col("m.cost"), 2).alias("trail_m"), "m.left_m")
 
 
+#: caps in metres on the drive by class of road; classes without one have that of grade5
+CLASS_CAPS = {"grade1": 700, "grade2": 600, "grade3": 500, "grade4": 450, "grade5": 300, "primary": 900, "residential": 500, "service": 400}
+OVERALL = 900
+SLACK = 1  # metre
+CLS = "CASE coalesce(nullif(tracktype, ''), CASE WHEN highway IN ('unclassified', 'track') THEN 'grade5' ELSE highway END) " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(CLASS_CAPS)) + " END"
+
+
+def _budget_sql(rounds: int = 9) -> str:
+    u = [f"u{i}" for i in range(len(CLASS_CAPS))]
+    out = f"be AS (SELECT src, dst, CAST(floor(cost * 100 + 0.5) AS BIGINT) AS w, CAST(floor(length_m * 100 + 0.5) AS BIGINT) AS len, {CLS} AS cls FROM edge), ba AS (SELECT src AS x, dst AS y, w, len, cls FROM be UNION ALL SELECT dst, src, w, len, cls FROM be), b0 AS (SELECT node, 0::BIGINT AS cost, {', '.join(f'0::BIGINT AS {c}' for c in u)} FROM anchor)"
+    for i in range(rounds):
+        more = ", ".join(f"{c} + CASE WHEN cls = {k} THEN len ELSE 0 END AS {c}" for k, c in enumerate(u))
+        fits = " AND ".join(f"{c} <= {(cap + SLACK) * 100}" for c, cap in zip(u, CLASS_CAPS.values()))
+        out += f", b{i + 1} AS (SELECT node, min(cost) AS cost, {', '.join(u)} FROM (SELECT * FROM b{i} UNION ALL SELECT * FROM (SELECT y AS node, cost + w AS cost, {more} FROM b{i} JOIN ba ON x = node) WHERE {fits} AND {' + '.join(u)} <= {(OVERALL + SLACK) * 100}) GROUP BY ALL)"
+    beaten = " AND ".join(f"b.{c} <= a.{c}" for c in u)
+    other = " OR ".join(f"b.{c} <> a.{c}" for c in u)
+    return f"{out}, way AS (SELECT * FROM b{rounds} a WHERE NOT EXISTS (SELECT 1 FROM b{rounds} b WHERE b.node = a.node AND b.cost <= a.cost AND {beaten} AND ({other})))"
+
+
+def budget_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ways from pavement to every node under the caps by class; lengths and costs in whole centimetres, so that sums are exact."""
+    _, e = routing_graph(spark, sf_dir)
+    known = list(CLASS_CAPS)
+    cls = F.coalesce(*[F.when(rds.budget_class("highway", F.nullif("tracktype", F.lit(""))) == c, i) for i, c in enumerate(known)], F.lit(known.index("grade5")))
+    cm = lambda c: F.floor(F.col(c) * 100 + 0.5).cast("long")
+    e = e.select("src", "dst", cm("cost").alias("cost"), cm("length_m").alias("length"), cls.alias("cls"))
+    arcs = graph.cut(e.union(e.select("dst", "src", "cost", "length", "cls")))
+    build = lambda: graph.budget_reach(arcs, roadnet.anchors(routing_graph(spark, sf_dir)[1]), [(c + SLACK) * 100 for c in CLASS_CAPS.values()], (OVERALL + SLACK) * 100)
+    return kept(spark, f"class budgets of {sf_dir}", build)
+
+
+@query(f"WITH {PLACES}, {ANCHOR}, {_budget_sql()} SELECT node, min(cost) / 100 AS cost_m, count(*) AS ways FROM way GROUP BY node")
+def drive_budgets(spark, sf_dir):
+    """Nodes that a drive from pavement reaches within the cap of each class: the least cost, and the ways that none beats."""
+    w = budget_ways(spark, sf_dir)
+    return w.groupBy("node").agg((F.min("cost") / 100).alias("cost_m"), F.count("*").alias("ways"))
+
+
+DRIVE_CAP = 1500
+DRIVE_ROUNDS = 16
+
+
+def _drive_sql() -> str:
+    out = "da AS (SELECT src AS x, dst AS y, CAST(floor(length_m * 100 + 0.5) AS BIGINT) AS w FROM edge UNION ALL SELECT dst, src, CAST(floor(length_m * 100 + 0.5) AS BIGINT) FROM edge), d0 AS (SELECT node, 0::BIGINT AS cost FROM anchor)"
+    for i in range(DRIVE_ROUNDS):
+        out += f", d{i + 1} AS (SELECT node, min(cost) AS cost FROM (SELECT node, cost FROM d{i} UNION ALL SELECT y, cost + w FROM d{i} JOIN da ON x = node WHERE cost + w <= {DRIVE_CAP * 100}) GROUP BY node)"
+    return f"""{out}, up AS (SELECT y AS node, min(x) AS prev FROM d{DRIVE_ROUNDS} a JOIN da ON da.x = a.node JOIN d{DRIVE_ROUNDS} b ON b.node = da.y WHERE a.cost + w = b.cost AND b.cost > 0 GROUP BY y),
+near AS (SELECT p.k, d.node, d.cost, {rd(_hav('p.lat', 'p.lon', 'n.lat', 'n.lon'), 2)} AS crow_m FROM {{pins}} p JOIN node n ON abs(p.lat - n.lat) < 0.012 AND abs(p.lon - n.lon) < 0.015 JOIN d{DRIVE_ROUNDS} d ON d.node = n.node),
+goal AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY crow_m, node) AS i FROM near WHERE crow_m <= 1200) WHERE i = 1),
+walk AS (SELECT node AS target, node, 0 AS step FROM (SELECT DISTINCT node FROM goal) UNION ALL SELECT target, up.prev, step + 1 FROM walk JOIN up ON up.node = walk.node),
+leg AS (SELECT a.target, least(a.node, b.node) AS src, greatest(a.node, b.node) AS dst FROM walk a JOIN walk b ON a.target = b.target AND b.step = a.step + 1),
+sums AS (SELECT target, sum(length_m) AS drive_m, sum(CASE WHEN highway = 'primary' AND surface <> 'gravel' THEN 0 ELSE length_m END) AS rough_m FROM leg JOIN edge USING (src, dst) GROUP BY target),
+ends AS (SELECT target, max(step) AS hops, arg_max(node, step) AS start FROM walk GROUP BY target)"""
+
+
+@query(f"WITH RECURSIVE {PLACES}, {ANCHOR}, {_drive_sql()} SELECT k, g.node, start, crow_m, {rd('coalesce(drive_m, 0)', 2)} AS drive_m, {rd('coalesce(rough_m, 0)', 2)} AS rough_m, CAST(hops AS INTEGER) AS hops FROM goal g JOIN ends e ON e.target = g.node LEFT JOIN sums s ON s.target = g.node")
+def drive_closest_approach(spark, sf_dir):
+    """For each pin the nearest node, as the crow flies, that the shortest drives from pavement reach, and the drive's line."""
+    n, e = routing_graph(spark, sf_dir)
+    cm = F.floor(F.col("length_m") * 100 + 0.5)
+    tree = kept(spark, f"shortest drives of {sf_dir}", lambda: graph.reach(roadnet.both_ways(e, cm.cast("double")), roadnet.anchors(e), DRIVE_CAP * 100.0))
+    at = tree.select("node").join(n, "node").select("node", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
+    near = grid_join.within(relation(spark, sf_dir, "pins").select("k", "lat", "lon"), at, 1200.0, radius=g.R_GROUND, slack_m=1.0).withColumn("crow_m", r(F.col("dist_m"), 2)).filter("crow_m <= 1200")
+    goal = graph.cut(near.groupBy("k").agg(F.min(F.struct("crow_m", "node")).alias("m")).select("k", "m.node", "m.crow_m"))
+    line = roadnet.drive_lines(tree, e, n, goal)
+    hops = graph.paths(tree, goal.select("node").distinct()).groupBy(F.col("target").alias("node")).agg(F.max("step").alias("hops"))
+    return goal.join(line, "node").join(hops, "node").select("k", "node", "start", "crow_m", r(F.col("drive_m"), 2).alias("drive_m"), r(F.col("rough_m"), 2).alias("rough_m"), "hops")
+
+
 @query(f"WITH {PLACES}, c AS (SELECT p.k, e.src, e.dst, a.lat AS la, a.lon AS lo, b.lat AS lb, b.lon AS lob, p.lat, p.lon FROM {{pins}} p JOIN node a ON abs(a.lat - p.lat) < 0.004 AND abs(a.lon - p.lon) < 0.005 JOIN edge e ON e.src = a.node JOIN node b ON b.node = e.dst), t AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((lon - lo) * kx * (lob - lo) * kx + (lat - la) * 111000 * (lb - la) * 111000) / (pow((lob - lo) * kx, 2) + pow((lb - la) * 111000, 2)))) AS t FROM (SELECT *, cos(radians((la + lb) / 2)) * 111000 AS kx FROM c)), f AS (SELECT *, la + (lb - la) * t AS fla, lo + (lob - lo) * t AS flo FROM t), m AS (SELECT k, src, dst, {_hav('lat', 'lon', 'fla', 'flo')} AS d FROM f) SELECT k, src, dst, {rd('d', 2)} AS off_m FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d, src, dst) AS i FROM m WHERE d <= 120) WHERE i = 1")
 def nearest_edges(spark, sf_dir):
     """For each pin the road that passes nearest within 120 m."""

@@ -10,6 +10,7 @@ from ..functions import roads as rds
 from ..functions import text as t
 from ..operators import finder, graph, greedy, grid_join, hike, merge, viewshed
 from ..sources.derived import relation, tile_blocks, tile_rows
+from ..sources.shared import kept
 from .geodesy import _hav, r, rd
 from .land import IN, point_hits
 from .links import LINK, _free, free_margin
@@ -116,9 +117,13 @@ def hike_routes(spark, sf_dir):
     return hike.routes(req, tile_rows(spark), max_len=8000.0).select("id", "found", "cap_deg", r(F.col("length_m"), 1).alias("length_m"), r(F.col("gain_m"), 1).alias("gain_m"), r(F.col("max_slope_deg"), 2).alias("max_slope_deg"))
 
 
+WIDTH, RADIUS = 32, 6000.0
+
+
 def _viewsheds(spark, sf_dir):
+    """The sites and their coverage rasters, evaluated once a session and data folder."""
     s = relation(spark, sf_dir, "sites").select("k", "slug", "lat", "lon", "height_m")
-    return s, viewshed.coverage(s, tile_blocks(spark), LINK | {"rx_height": 2.0}, 6000.0, 32)
+    return s, kept(spark, f"coverage of {sf_dir}", lambda: viewshed.coverage(s, tile_blocks(spark), LINK | {"rx_height": 2.0}, RADIUS, WIDTH))
 
 
 def viewshed_cells(spark, sf_dir):
@@ -126,9 +131,22 @@ def viewshed_cells(spark, sf_dir):
     return cov.select("slug", "x", "y", r(F.col("pr_dbm"), 2).alias("pr_dbm"))
 
 
+def _ground(spark, sf_dir):
+    s, cov = _viewsheds(spark, sf_dir)
+    return s, kept(spark, f"covered ground of {sf_dir}", lambda: viewshed.ground_masks(cov, s, RADIUS, WIDTH, 500.0))
+
+
 def viewshed_union(spark, sf_dir):
+    """For three chains of sites: the pixels they cover by number, and the cells of ground they cover together."""
     s, cov = _viewsheds(spark, sf_dir)
-    return viewshed.union_gain(cov, s.select((F.col("k") % 3).alias("chain"), "slug"))
+    chains = s.select((F.col("k") % 3).alias("chain"), "slug")
+    by_number = viewshed.union_gain(viewshed.raster_masks(cov, WIDTH), chains)
+    return by_number.join(viewshed.union_cells(_ground(spark, sf_dir)[1], chains).withColumnRenamed("cells", "ground_cells"), "chain")
+
+
+def coverage_additions(spark, sf_dir):
+    """The twelve sites that, one after the other, add the most covered ground."""
+    return viewshed.best_additions(_ground(spark, sf_dir)[1], 12)
 
 
 @query(f"SELECT w.route, w.ord, count(*) AS n, min(s.slug) AS first FROM {{waypoints}} w JOIN {{sites}} s ON abs(w.lat - s.lat) < 0.1 AND {rd(_hav('w.lat', 'w.lon', 's.lat', 's.lon', '6378137.0::DOUBLE'), 2)} <= 8000 GROUP BY 1, 2")
@@ -168,5 +186,5 @@ def park_rings(spark, sf_dir):
     return k.groupBy("slug").agg(F.first("ring").alias("ring_m"), F.count(F.when(F.col("d") <= F.col("ring"), 1)).alias("in_ring"), F.count(F.when(F.col("d") <= F.col("near") + 0.5, 1)).alias("nearest_ties"), r(F.min("near"), 2).alias("near_m"))
 
 
-for _f in (alternates_diverse, catalogue_peaks, roads_merged, hike_routes, viewshed_cells, viewshed_union, relay_chains):
+for _f in (alternates_diverse, catalogue_peaks, roads_merged, hike_routes, viewshed_cells, viewshed_union, coverage_additions, relay_chains):
     query()(_f)

@@ -89,17 +89,23 @@ def test_solver_meets_in_the_middle(spark):
     a = spark.createDataFrame([(f"{i:02}", f"{j:02}", *at[j], w) for i, j, w in arcs], "x_slug string, y_slug string, y_lat double, y_lon double, w double")
     pairs = [(i, i + 7) for i in range(30)]
     want = spark.createDataFrame([(f"{i:02}", *at[i], f"{j:02}", *at[j]) for i, j in pairs], "a_slug string, a_lat double, a_lon double, b_slug string, b_lat double, b_lon double")
-    got = {(r.a_slug, r.b_slug): (r.hops, r.routes, round(r.best_m, 3)) for r in solver.fewest_hops(want, a, 12_000.0, 4).collect()}
-    near = {}
+    got = {(r.a_slug, r.b_slug): (r.hops, r.routes, r.best_m and round(r.best_m, 3)) for r in solver.fewest_hops(want, a, 12_000.0, 4).collect()}
+    listed = {}
+    for r in solver.list_paths(want, a, 12_000.0, 4, k=3).collect():
+        listed.setdefault((r.a_slug, r.b_slug), []).append((r.rank, r.path, round(r.d, 3)))
+    near, first = {}, {}
     for i, j, w in arcs:
         near.setdefault(i, []).append((j, w))
     expect = {}
     for s, t in pairs:
         walks = [((s,), 0.0)]
+        expect[f"{s:02}", f"{t:02}"] = (None, 0, None)
         for hops in range(1, 5):
             walks = [((*p, y), d + w) for p, d in walks for y, w in near.get(p[-1], []) if y not in p]
             ends = [d for p, d in walks if p[-1] == t]
             if ends:
+                best = sorted((d, [f"{x:02}" for x in p]) for p, d in walks if p[-1] == t)[:3]
+                first[f"{s:02}", f"{t:02}"] = [(i + 1, p, round(d, 3)) for i, (d, p) in enumerate(best)]
                 expect[f"{s:02}", f"{t:02}"] = (hops, len(ends), round(min(ends), 3))
                 break
             walks = [(p, d) for p, d in walks if p[-1] != t]
@@ -205,3 +211,95 @@ def test_access_options_by_brute_force(spark):
         pick = best if best in left else left[0]
         want |= {(k, x[1]): (f"{x[2]:.4f}#{x[3]:.4f}#0", x is pick) for x in left}
     assert got == want
+
+
+def test_listed_routes_are_the_shortest(spark):
+    arcs = [("a", "x", 1.0), ("a", "y", 2.0), ("x", "m", 5.0), ("y", "m", 3.0), ("m", "b", 1.0), ("x", "n", 1.0), ("n", "b", 9.0), ("a", "far", 1.0)]
+    both = [(x, y, 0.0, 0.0, w) for x, y, w in arcs] + [(y, x, 0.0, 0.0, w) for x, y, w in arcs]
+    a = spark.createDataFrame(both, "x_slug string, y_slug string, y_lat double, y_lon double, w double")
+    want = spark.createDataFrame([("a", 0.0, 0.0, "b", 0.0, 0.0), ("a", 0.0, 0.0, "zz", 0.0, 0.0)], "a_slug string, a_lat double, a_lon double, b_slug string, b_lat double, b_lon double")
+    got = {r.a_slug + r.b_slug: (r.hops, r.routes, r.best_m) for r in solver.fewest_hops(want, a, 1000.0).collect()}
+    assert got == {"ab": (3, 3, 6.0), "azz": (None, 0, None)}
+    listed = [(r.rank, ">".join(r.path), r.d) for r in solver.list_paths(want, a, 1000.0, k=2).orderBy("rank").collect()]
+    assert listed == [(1, "a>y>m>b", 6.0), (2, "a>x>m>b", 7.0)]
+
+
+def test_budgets_keep_every_way_that_none_beats(spark):
+    rnd = random.Random(6)
+    edges = [(i, j, rnd.randrange(1, 9) * (1 + 2 * c), rnd.randrange(1, 9), c) for i in range(14) for j in range(i + 1, 14) if rnd.random() < 0.3 for c in [rnd.randrange(3)]]
+    arcs = edges + [(j, i, c, n, k) for i, j, c, n, k in edges]
+    caps, overall = [12, 9, 7], 18
+    ways = {(0, 0, (0, 0, 0))}
+    front = set(ways)
+    while front:
+        new = set()
+        for node, cost, used in front:
+            for i, j, c, n, k in arcs:
+                if i == node:
+                    u = tuple(v + n * (x == k) for x, v in enumerate(used))
+                    if u[k] <= caps[k] and sum(u) <= overall:
+                        new.add((j, cost + c, u))
+        front = new - ways
+        ways |= front
+    beats = lambda y, x: y[0] == x[0] and y[1] <= x[1] and all(a <= b for a, b in zip(y[2], x[2])) and y != x
+    want = {w for w in ways if not any(beats(o, w) for o in ways)}
+    e = spark.createDataFrame(arcs, "src long, dst long, cost long, length long, cls int")
+    got = graph.budget_reach(e, spark.createDataFrame([(0,)], "node long"), caps, overall).cache()
+    assert {(r.node, r.cost, tuple(r.used)) for r in got.collect()} == want
+    # the way back of each node's cheapest adds up to it
+    back = {}
+    for r in graph.budget_paths(got, got.select("node").distinct()).collect():
+        back.setdefault(r.target, {})[r.step] = r.node
+    least = {n: min(c for m, c, _ in want if m == n) for n in {w[0] for w in want}}
+    for n, steps in back.items():
+        way = [steps[i] for i in sorted(steps)]
+        assert way[0] == n and way[-1] == 0
+        price = {(i, j): [] for i, j, *_ in arcs}
+        for i, j, c, *_ in arcs:
+            price[i, j].append(c)
+        assert sum(min(price[b, a]) for a, b in zip(way, way[1:])) <= least[n]
+
+
+def test_diverse_routes_are_those_of_one_pass(spark):
+    rnd = random.Random(8)
+    rows = [(i % 2, i, [rnd.randrange(60) for _ in range(rnd.choice([0, 1, 3, 5]))]) for i in range(300)]
+    rnd.shuffle(rows)
+    want, seen = {}, {0: set(), 1: set()}
+    for g, o, p in sorted(rows, key=lambda x: x[1]):
+        want[g, o] = not (set(p) & seen[g])
+        if want[g, o]:
+            seen[g] |= set(p)
+    df = spark.createDataFrame(rows, "g int, o int, peaks array<int>")
+    assert {(r.g, r.o): r.is_unique for r in greedy.diverse_routes(df, ["g"], ["o"]).collect()} == want
+
+
+def test_masks_count_and_additions_are_greedy(spark):
+    rnd = random.Random(2)
+    cells = {f"s{i:02}": {(rnd.randrange(32), rnd.randrange(32)) for _ in range(rnd.randrange(1, 260))} for i in range(40)}
+    covered = spark.createDataFrame([(s, x, y) for s, v in cells.items() for x, y in v], "slug string, x int, y int")
+    chains = spark.createDataFrame([(i % 4, f"s{i:02}") for i in range(40)], "chain int, slug string")
+    got = {r.chain: r.cells for r in viewshed.union_gain(viewshed.raster_masks(covered, 32), chains).collect()}
+    assert got == {k: len(set().union(*[cells[f"s{i:02}"] for i in range(k, 40, 4)])) for k in range(4)}
+    # on the ground: sites around two places, cells by the pixels' centres
+    at = {s: (37.0 + (int(s[1:]) % 3) * 0.01, -117.0 + (int(s[1:]) // 20) * 2.0) for s in cells}
+    sites = spark.createDataFrame([(s, *v) for s, v in at.items()], "slug string, lat double, lon double")
+    masks = viewshed.ground_masks(covered, sites, 6000.0, 32, 500.0)
+
+    def ground(s):
+        half = 6000.0 / 6_378_137.0 * 180 / math.pi
+        wide = half / math.cos(math.radians(at[s][0]))
+        out = set()
+        for x, y in cells[s]:
+            la, lo = at[s][0] + half - (y + 0.5) / 32 * 2 * half, at[s][1] - wide + (x + 0.5) / 32 * 2 * wide
+            mx, my = lo * 20037508.342789244 / 180, math.log(math.tan((90 + la) * math.pi / 360)) * 6_378_137.0
+            out.add((math.floor(mx / 500), math.floor(my / 500)))
+        return out
+
+    land = {s: ground(s) for s in cells}
+    assert {r.chain: r.cells for r in viewshed.union_cells(masks, chains).collect()} == {k: len(set().union(*[land[f"s{i:02}"] for i in range(k, 40, 4)])) for k in range(4)}
+    have, want = set(), []
+    for rank in range(1, 7):
+        s = min(land, key=lambda s: (-len(land[s] - have), s))
+        want.append((rank, s, len(land[s] - have)))
+        have |= land.pop(s)
+    assert [(r.rank, r.slug, r.gain) for r in viewshed.best_additions(masks, 6, batch=5).orderBy("rank").collect()] == want

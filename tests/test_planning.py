@@ -69,6 +69,9 @@ def test_chain_search():
     assert finder.chain("a", {"goal"}, hears) == ["a", "b", "goal"]
     assert finder.chain("a", {"goal"}, {"a": [(1, "dead")]}) is None
     assert finder.chain("a", {"a"}, {}) == ["a"]
+    # a site reached too late on one way is met again on a shorter one
+    hears = {"s": [(1, "a"), (2, "c")], "a": [(1, "b")], "b": [(1, "c")], "c": [(1, "g")]}
+    assert finder.chain("s", {"g"}, hears, depth=3) == ["s", "c", "g"]
 
 
 def test_merge_cuts_a_parallel_stretch_and_keeps_a_crossing(spark):

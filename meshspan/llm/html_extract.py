@@ -1,14 +1,16 @@
 """Main-text extraction by the distribution of text over line blocks.
 
-Markup is stripped into *lines*, one for each block-level element's text.  A
-line counts its characters outside links and outside containers that never hold
-an article (menus, footers, forms, comment lists ...).  Sums over sliding windows
-of lines rise steeply where an article starts and fall to nothing where it ends:
-from each surge point to the next dive point runs a candidate, on marked pages
-too; a mark (article, main) only refines its bounds, and rules out text beside it
-if the candidate with most characters is marked.  The text kept is that of this
-candidate and of all others that the same container or a comparable weight joins
-to it.
+Markup is stripped into *lines*, one for each block-level element's text; blocks
+that never hold an article (menus, footers, forms, comment lists ...) are no lines.
+A line counts its characters outside links.  Sums over sliding windows of lines
+rise steeply where an article starts and fall to nothing where it ends: from each
+surge point to the next dive point runs a candidate, on marked pages too.  A mark
+(article, main) cuts a candidate that runs past it, and rules out text beside it if
+the candidate with most characters is marked; without marks, candidates far lighter
+than the heaviest go.  Lines that run on from a candidate in its container join it.
+
+Parsing and sums take time linear in the page, however long; equal candidates go to
+the first on the page.
 """
 
 from __future__ import annotations
@@ -36,10 +38,10 @@ HOME = {"article", "main"}
 #: blocks that hold others; the rest belong to the container around them
 BOX = {"article", "body", "details", "div", "main", "section", "td"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-CLASSES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|footer|header|masthead|side-?bar|related|share|sharing|social|comments?|commentlist|disqus|respond|reply|replies|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|login|signup|widget|toolbar|pagination|pager|tags|copyright|legal|disclaimer|skip)(?:$|[\s_-])",
-    re.I,
-)
+#: fixed values: what the names of classes and ids call blocks that are no article; as patterns, since they come in variants
+NAMES = re.compile(r"ads?|advert\w*|banners?|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|footer|header|masthead|sidebar|related|share|sharing|social|comments?|commentlist|disqus|respond|reply|replies|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w*|login|signup|widgets?|toolbar|pagination|pager|tags|copyright|legal|disclaimer|skip", re.I)
+#: fixed values: words that say where or how such a block stands; with another word a name may be an article's own ("legal-news")
+FILLERS = set("area bar block body bottom box btn button buttons center col column container content cloud field fields float foot form global group head inner item items label left line link links list lower main menu mobile nav outer page panel policy post posts primary right row secondary section side site slot space sticky text title top unit upper wrap wrapper zone".split())
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 SPACE = re.compile(r"\s+")
@@ -60,6 +62,13 @@ class Line:
         return 0 if self.away else max(0, len(self.text) - self.linked)
 
 
+def _names_other(name: str) -> bool:
+    """Whether a class or id names a block that is no article: one of NAMES, with nothing beside it but FILLERS and numbers."""
+    parts = [p for p in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", name) if p]
+    named = [bool(NAMES.fullmatch(p)) for p in parts]
+    return any(named) and all(n or p.lower() in FILLERS or p.isdigit() for n, p in zip(named, parts))
+
+
 def _ruled_out(tag: str, attrs: str, in_home: bool) -> bool:
     if tag in AWAY:
         return not (in_home and tag == "header")
@@ -67,7 +76,7 @@ def _ruled_out(tag: str, attrs: str, in_home: bool) -> bool:
         return False
     for name, a, b, c in ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id") and CLASSES.search(value):
+        if name in ("class", "id") and any(map(_names_other, value.split())):
             return True
         if name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
             return True
@@ -207,47 +216,43 @@ def spans(weights: list[int], window: int, surge: int) -> list[tuple[int, int]]:
 
 
 def extract(page: str | None, window: int = 3, surge: int = 80) -> str:
-    """The main text of a page: its blocks joined by line feeds; "" if there is none."""
+    """The main text of a page: its blocks joined by line feeds; "" if there is none.
+
+    Ruled-out blocks are no lines.  The text is what stands between surge and dive
+    points; the lines that run on from a span, before its surge and after its dive
+    (titles, paragraphs that are links, short last words), join it while they stand
+    in its container and are no linked list.  A page on which nothing surges has
+    its heaviest span as text.
+    """
     if not page:
         return ""
-    ls, around = lines(page)
+    ls = [x for x in lines(page)[0] if not x.away]
     weights = [x.weight for x in ls]
-    every = _pieces(ls, spans(weights, window, 0))
-    found = _pieces(ls, spans(weights, window, surge)) or every
+    found = _pieces(ls, spans(weights, window, surge))
+    mass = lambda p: sum(weights[p[0] : p[1]])
+    if not found:
+        found = sorted(_pieces(ls, spans(weights, window, 0)), key=lambda p: (-mass(p), p[0]))[:1]
     if not found:
         return ""
-    mass = {(a, b): sum(weights[a:b]) for a, b in found}
-    best = max(found, key=lambda p: (mass[p], -p[0]))
-    # Where the heaviest piece is marked as an article, marks rule out the text beside them;
+    best = max(found, key=lambda p: (mass(p), -p[0]))
+    # Where the heaviest span is marked as an article, marks rule out the text beside them;
     # where it is not, text far lighter than it is not the article.
     marked = bool(ls[best[0]].home)
-    kept = [p for p in found if (ls[p[0]].home if marked else mass[p] * 4 >= mass[best])]
-    # Pieces of the same container belong together, however little text they have;
-    # so does what stands in an article around the one kept, such as its title.
-    boxes = {x.box for a, b in kept for x in ls[a:b] if x.weight}
-    for box in list(boxes):
-        while around.get(box, box) not in boxes:
-            box = around[box]
-            boxes.add(box)
-    own = [p for p in every if any(x.box in boxes for x in ls[p[0] : p[1]] if x.weight)]
+    kept = [p for p in found if (ls[p[0]].home if marked else mass(p) * 4 >= mass(best))]
     take: set[int] = set()
-    for a, b in kept + own:
-        if (a, b) in mass:
-            take.update(range(a, b))
-        else:
-            take.update(i for i in range(a, b) if ls[i].box in boxes)
-    # Linked paragraphs between the pieces of a container are its text; linked list items are menus.
-    ends: dict[int, int] = {}
-    for i in sorted(take):
-        box = ls[i].box
-        if box in boxes:
-            take.update(k for k in range(ends.get(box, i), i) if ls[k].box == box and not ls[k].item)
-            ends[box] = i + 1
-    for a, _ in kept + own:  # a linked heading before a piece is its title
-        while a and ls[a - 1].heading and not ls[a - 1].away and ls[a - 1].box in boxes:
-            a -= 1
-            take.add(a)
-    return "\n".join(ls[i].text for i in sorted(take) if not ls[i].away)
+    for a, b in kept:
+        take.update(range(a, b))
+        for i, step in ((a - 1, -1), (b, 1)):
+            box = ls[a if step < 0 else b - 1].box
+            while 0 <= i < len(ls) and i not in take and _joins(ls[i], box):
+                take.add(i)
+                i += step
+    return "\n".join(ls[i].text for i in sorted(take))
+
+
+def _joins(line: Line, box: int) -> bool:
+    """Whether a line beside a span belongs to it: of its container, and no linked list item."""
+    return line.box == box and not (line.item and not line.weight)
 
 
 def _pieces(ls: list[Line], found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -256,7 +261,7 @@ def _pieces(ls: list[Line], found: list[tuple[int, int]]) -> list[tuple[int, int
     for a, b in found:
         for i in range(a, b):
             if ls[i].weight:
-                if out and out[-1][0] >= a and ls[out[-1][0]].home == ls[i].home and all(x.away or x.home == ls[i].home for x in ls[out[-1][1] : i]):
+                if out and out[-1][0] >= a and ls[out[-1][0]].home == ls[i].home and all(x.home == ls[i].home for x in ls[out[-1][1] : i]):
                     out[-1] = (out[-1][0], i + 1)
                 else:
                     out.append((i, i + 1))

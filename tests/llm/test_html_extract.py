@@ -43,6 +43,22 @@ def test_surge_and_dive_decide(page, want):
     assert extract(page) == want
 
 
+def test_the_threshold_decides_what_is_text():
+    """A run of short lines of its own beside the article is text without a threshold, and none with it."""
+    links = "".join(f"<li><a href=/{i}>Story {i}</a></li>" for i in range(5))
+    short = "".join(f"<p>Twenty characters {i}.</p>" for i in range(6))
+    page = f"<body><div><p>{P}</p></div><ul>{links}</ul><div>{short}</div></body>"
+    lines = [f"Twenty characters {i}." for i in range(6)]
+    assert extract(page, surge=0) == "\n".join([P, *lines])
+    assert extract(page, surge=80) == P
+    assert extract(f"<body><div>{short}</div><ul>{links}</ul><div><p>Less text.</p></div></body>", surge=80) == "\n".join(lines)  # nothing surges
+
+
+@pytest.mark.parametrize("name, kept", [("ad", False), ("ad-slot-2", False), ("comment-list", False), ("cookieNotice", False), ("related-posts", False), ("chapter", True), ("legal-news", True), ("tags-of-history", True), ("alert-systems", True), ("header-of-state", True)])
+def test_names_of_blocks(name, kept):
+    assert extract(f"<article><p>{P}</p><section class='{name}'><p>{P}</p></section></article>") == (f"{P}\n{P}" if kept else P)
+
+
 @pytest.mark.parametrize("page, want", [
     # a title and an introduction before the article inside the main part
     (f"<main><h1>Title</h1><p>Intro here.</p><article><p>{P}</p></article></main>", f"Title\nIntro here.\n{P}"),

@@ -60,7 +60,10 @@ ROADNEAR = f"{rd(_hav('c.lat', 'c.lon', 's.lat_a', 's.lon_a', '6378137.0::DOUBLE
 SEEDS = "seeds AS (SELECT slug, 'dem' AS source, lat, lon, elev_m FROM {peaks} UNION ALL SELECT slug, CASE WHEN seg IN ('BUILDING', 'SUPPLIER') THEN lower(seg) ELSE 'site' END, lat, lon, 100 * height_m FROM {sites})"
 
 
-@query(f"WITH {SEEDS}, flags AS (SELECT s.slug, bool_or(p.role = 'include') AS inc, bool_or(p.role = 'exclude') AS exc FROM seeds s JOIN {{parcels}} p ON {IN} GROUP BY 1), road AS (SELECT c.slug, min({ROADNEAR}) AS road_m FROM seeds c JOIN {{segments}} s ON abs(c.lat - s.lat_a) < 0.05 AND abs(c.lon - s.lon_a) < 0.06 WHERE {ROADNEAR} <= 4000 GROUP BY 1), v AS (SELECT s.*, coalesce(inc, false) AS inc, coalesce(exc, false) AS exc, road_m FROM seeds s LEFT JOIN flags USING (slug) LEFT JOIN road USING (slug)) SELECT slug, source, CASE WHEN source = 'dem' AND exc THEN 'denied' WHEN elev_m < 300 THEN 'low' WHEN road_m IS NULL THEN 'no_road' WHEN road_m > 1609 THEN 'hike' ELSE 'pass' END AS verdict, road_m FROM v")
+VERDICTS = f"{SEEDS}, flags AS (SELECT s.slug, bool_or(p.role = 'include') AS inc, bool_or(p.role = 'exclude') AS exc FROM seeds s JOIN {{parcels}} p ON {IN} GROUP BY 1), road AS (SELECT c.slug, min({ROADNEAR}) AS road_m FROM seeds c JOIN {{segments}} s ON abs(c.lat - s.lat_a) < 0.05 AND abs(c.lon - s.lon_a) < 0.06 WHERE {ROADNEAR} <= 4000 GROUP BY 1), v AS (SELECT s.*, coalesce(inc, false) AS inc, coalesce(exc, false) AS exc, road_m FROM seeds s LEFT JOIN flags USING (slug) LEFT JOIN road USING (slug)), verdicts AS (SELECT slug, source, CASE WHEN source = 'dem' AND exc THEN 'denied' WHEN elev_m < 300 THEN 'low' WHEN road_m IS NULL THEN 'no_road' WHEN road_m > 1609 THEN 'hike' ELSE 'pass' END AS verdict, road_m FROM v)"
+
+
+@query(f"WITH {VERDICTS} SELECT * FROM verdicts")
 def catalogue_verdicts(spark, sf_dir):
     return _verdicts(spark, sf_dir).select("slug", "source", "verdict", "road_m")
 

@@ -9,7 +9,7 @@ from tests.compare import differences, duck
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 #: queries whose small data hold no case; they run at the next size
-SPARSE = {"land_clip_to_aoi", "access_nearest_road", "road_components", "park_sectors", "solver_routes", "land_eligible_area", "near_entries"}
+SPARSE = {"land_clip_to_aoi", "access_nearest_road", "road_components", "park_sectors", "solver_routes", "land_eligible_area", "near_entries", "eligible_peaks_in_areas", "land_dissolved"}
 
 
 @pytest.fixture(scope="module")

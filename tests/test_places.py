@@ -50,3 +50,31 @@ def test_crowded_places_are_packed(spark):
 @pytest.mark.parametrize("name", ["access_nearest_road", "catalogue_verdicts", "catalogue_report", "park_rings", "park_sectors"])
 def test_roads_by_place(spark, copies, name):
     assert differences(spark, duck(copies), copies, name, catalogue.QUERIES[name], catalogue.ORACLES[name]) == []
+
+
+@pytest.fixture(scope="module")
+def crowds(tmp_path_factory):
+    """A part of sf0.001 three times over at the same places, suppliers on places of customers."""
+    import duckdb
+
+    folder, con = tmp_path_factory.mktemp("crowds"), duckdb.connect()
+    for table, keys in SHIFT.items():
+        moved = ", ".join(f"{k} + g * 840000 AS {k}" for k in keys)
+        few = {"customer": "WHERE c_custkey < 90", "part": "WHERE p_partkey < 120"}.get(table, "")
+        con.execute(f"COPY (SELECT t.* REPLACE ({moved}) FROM (FROM '/root/testdata/sf0.001/{table}.parquet' {few}) t, range(3) x(g)) TO '{folder}/{table}.parquet'")
+    return str(folder)
+
+
+MESH = ["mesh_links", "mesh_peers", "mesh_manual_override", "mesh_summary", "mesh_of_some", "pair_lookups", "mesh_at_height", "mesh_hop_ranges", "mesh_free_space", "road_reach"]
+
+
+@pytest.mark.parametrize("name", MESH)
+def test_links_by_place(spark, crowds, name):
+    assert differences(spark, duck(crowds), crowds, name, catalogue.QUERIES[name], catalogue.ORACLES[name]) == []
+
+
+def test_the_mesh_is_kept_by_place(spark, crowds):
+    from meshspan.plans import links
+
+    many = links.mesh(spark, crowds).count()
+    assert links.spot_mesh(spark, crowds).count() * 3 < many

@@ -14,6 +14,7 @@ from ..operators import greedy, grid_join, terrain, viewshed
 from ..sources import files
 from ..sources.derived import duck_height, relation, tile_blocks, tile_rows, tile_sampler
 from ..sources.shared import shared_path
+from .access import road_starts
 from .geodesy import _hav, r, rd
 from .links import LINK, STEP_M
 from .registry import query
@@ -62,13 +63,14 @@ def gentlest_hikes(spark, sf_dir):
     distance, as they are found.
     """
     p = relation(spark, sf_dir, "peaks").filter("eligible").select("slug", "lat", "lon")
-    s = relation(spark, sf_dir, "segments").select("route", "ord", F.col("lat_a").alias("r_lat"), F.col("lon_a").alias("r_lon"), (F.col("surface") == "asphalt").alias("paved"))
-    n = grid_join.within(p, s, 2500.0)
-    z = tile_sampler(spark)
-    n = z(z(n, "lat", "lon", "zp"), "r_lat", "r_lon", "zr")
+    s = road_starts(spark, sf_dir).select("route", "ord", "r_lat", "r_lon", F.col("asphalt").alias("paved"))
+    # Walks are those of a place; heights are read once a place or start, not once a pair.
+    at, z = ["lat", "lon"], tile_sampler(spark)
+    places = z(p.select(*at).distinct(), "lat", "lon", "zp")
+    n = grid_join.within(z(s, "r_lat", "r_lon", "zr"), places, 2500.0, ("r_lat", "r_lon"), ("lat", "lon"), spread=True)
     rise = F.col("zp") - F.col("zr")
-    n = n.select("slug", "route", "ord", F.coalesce("paved", F.lit(False)).alias("paved"), r(F.col("dist_m"), 2).alias("len_m"), r(F.degrees(F.atan2(F.abs(rise), "dist_m")), 3).alias("slope"), r(F.greatest(rise, F.lit(0.0)), 2).alias("gain"), r(F.greatest(-rise, F.lit(0.0)), 2).alias("loss"))
-    return greedy.fold_hikes(n, ["slug"], ["len_m", "route", "ord"]).select("slug", "route", "ord", "paved", "slope")
+    n = n.select(*at, "route", "ord", "paved", r(F.col("dist_m"), 2).alias("len_m"), r(F.degrees(F.atan2(F.abs(rise), "dist_m")), 3).alias("slope"), r(F.greatest(rise, F.lit(0.0)), 2).alias("gain"), r(F.greatest(-rise, F.lit(0.0)), 2).alias("loss"))
+    return p.join(greedy.fold_hikes(n, at, ["len_m", "route", "ord"]), at).select("slug", "route", "ord", "paved", "slope")
 
 
 # --- indexes and caches -------------------------------------------------------------------------------------------

@@ -78,3 +78,87 @@ def test_the_mesh_is_kept_by_place(spark, crowds):
 
     many = links.mesh(spark, crowds).count()
     assert links.spot_mesh(spark, crowds).count() * 3 < many
+
+
+AREAS = ["fortify_candidates", "alternates_ranked", "eligible_peaks_in_discs", "coverage_raster", "coverage_mosaic", "land_burn_touched", "land_boolean_areas", "corridor_polygons", "routes_alike"]
+
+
+@pytest.mark.parametrize("name", AREAS)
+def test_areas_and_peaks_by_place(spark, crowds, name):
+    assert differences(spark, duck(crowds), crowds, name, catalogue.QUERIES[name], catalogue.ORACLES[name]) == []
+
+
+@pytest.mark.parametrize("name", ["eligible_peaks_in_areas", "land_dissolved"])
+def test_land_by_place(spark, copies, name):
+    assert differences(spark, duck(copies), copies, name, catalogue.QUERIES[name], catalogue.ORACLES[name]) == []
+
+
+def test_alternates_are_thinned_in_order_of_rank(spark, crowds):
+    from meshspan.plans import planning
+    from meshspan.sources.derived import relation
+
+    at = {x.slug: (x.lat, x.lon) for x in relation(spark, crowds, "peaks").collect()}
+    want, kept_ = set(), {}
+    for x in planning.alternates_ranked(spark, crowds).orderBy("subject", "rank").collect():
+        mine = kept_.setdefault(x.subject, [])
+        if len(mine) < 10 and all(metres(at[x.peak], at[p]) >= 800 for p in mine):
+            mine.append(x.peak)
+            want.add((x.subject, x.peak, x.rank))
+    assert {tuple(x) for x in planning.alternates_diverse(spark, crowds).select("subject", "peak", "rank").collect()} == want and len(want) > 100
+    fits, of_class, _ = planning._fits(spark, crowds)
+    assert fits.count() * 6 < planning.alternates_ranked(spark, crowds).count() and of_class.select("class").distinct().count() * 2 < of_class.count()
+
+
+def test_near_groups_make_no_pairs_at_a_place(spark, monkeypatch):
+    from meshspan.operators import greedy
+
+    made = []
+    whole = greedy._close_pairs
+    monkeypatch.setattr(greedy, "_close_pairs", lambda df, *a: made.append(df.count()) or whole(df, *a))
+    rnd = random.Random(9)
+    rows = [(i, 37 + (i % 7) * 0.02 + (i % 14 == 8) * 0.004, -117.0, float(rnd.randrange(6))) for i in range(140)]
+    df = greedy.near_groups(spark.createDataFrame(rows, "k long, lat double, lon double, elev_m double"), "k", 1000.0)
+    got = {x.k: (x.near_group, x.kept, x.winner) for x in greedy.dedup_higher(df, ["near_group"], ["k"], 1000.0).collect()}
+    want = {}
+    for g in range(7):
+        slots, mine = [], [x for x in rows if x[0] % 7 == g]  # all within 1 km of each other
+        best = 0
+        for i, x in enumerate(mine):
+            best = i if x[3] > mine[best][3] else best
+        want |= {x[0]: (g, i == best, best) for i, x in enumerate(mine)}
+    assert got == want and made == [8]
+
+
+@pytest.fixture(scope="module")
+def pins(tmp_path_factory):
+    """Roads of sf0.001, and 40 of its pins three times over: their places repeat with the keys modulo 6,670."""
+    import duckdb
+
+    folder, con = tmp_path_factory.mktemp("pins"), duckdb.connect()
+    con.execute(f"COPY (FROM '/root/testdata/sf0.001/lineitem.parquet') TO '{folder}/lineitem.parquet'")
+    con.execute(f"COPY (SELECT t.* REPLACE (p_partkey + g * 6670 AS p_partkey) FROM (FROM '/root/testdata/sf0.001/part.parquet' WHERE p_partkey < 40) t, range(3) x(g)) TO '{folder}/part.parquet'")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["access_index", "nearest_edges"])
+def test_pins_by_place(spark, pins, name):
+    assert differences(spark, duck(pins), pins, name, catalogue.QUERIES[name], catalogue.ORACLES[name]) == []
+
+
+def test_candidates_and_roads_are_worked_out_once(spark, pins, monkeypatch):
+    from meshspan.operators import roadnet
+    from meshspan.plans import network
+    from meshspan.sources.derived import relation
+
+    n, e = network.routing_graph(spark, pins)
+    found = network.park_candidates(spark, pins, n, network.trees(spark, pins, e)[0])
+    assert 0 < found.select("k").distinct().count() <= 40 and found.filter("k >= 40").isEmpty()
+    assert network.access_candidates(spark, pins).count() == 3 * found.count()
+    sizes = []
+    whole = roadnet.ends
+    monkeypatch.setattr(roadnet, "ends", lambda s: sizes.append(s.count()) or whole(s))
+    s = relation(spark, pins, "roads").filter("id < 400")
+    twice = s.union(s.withColumn("id", F.col("id") + 1_000_000))
+    key = lambda e: {(x.src, x.dst): (x.n, x.cost) for x in e.collect()}
+    a, b = key(roadnet.build(s)[1]), key(roadnet.build(twice)[1])
+    assert b == {k: (2 * v[0], v[1]) for k, v in a.items()} and sizes[0] == sizes[1]

@@ -162,3 +162,18 @@ def test_candidates_and_roads_are_worked_out_once(spark, pins, monkeypatch):
     key = lambda e: {(x.src, x.dst): (x.n, x.cost) for x in e.collect()}
     a, b = key(roadnet.build(s)[1]), key(roadnet.build(twice)[1])
     assert b == {k: (2 * v[0], v[1]) for k, v in a.items()} and sizes[0] == sizes[1]
+
+
+def test_chains_are_worked_out_once_a_place(spark, crowds, monkeypatch):
+    from meshspan.operators import wedge
+    from meshspan.sources.derived import relation
+
+    started = []
+    whole = wedge.grow
+    monkeypatch.setattr(wedge, "grow", lambda s, *a, **k: started.append(s.count()) or whole(s, *a, **k))
+    at = {x.k: (x.lat, x.lon) for x in relation(spark, crowds, "sites").collect()}
+    got = catalogue.QUERIES["peak_chains"](spark, crowds).collect()
+    assert sorted(x.route for x in got) == sorted(at)
+    ways = {(at[x.route], x.segments, x.path) for x in got}
+    assert len(ways) == len(set(at.values())) and len(ways) * 2 < len(got)
+    assert 0 < started[0] <= 2 * len(ways)

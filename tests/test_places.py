@@ -177,3 +177,20 @@ def test_chains_are_worked_out_once_a_place(spark, crowds, monkeypatch):
     ways = {(at[x.route], x.segments, x.path) for x in got}
     assert len(ways) == len(set(at.values())) and len(ways) * 2 < len(got)
     assert 0 < started[0] <= 2 * len(ways)
+
+
+PAIRS = [("progress_lens", "crowds"), ("terrain_wedge_peaks", "copies"), ("solver_ellipse", "crowds")]
+
+
+@pytest.mark.parametrize("name, tables", PAIRS)
+def test_pairs_meet_by_place(spark, request, monkeypatch, name, tables):
+    folder, entered = request.getfixturevalue(tables), []
+    whole = grid_join.within
+
+    def counted(left, right, radius_m, left_at=("lat", "lon"), right_at=("r_lat", "r_lon"), *a, **k):
+        entered.append(left.count() == left.select(*left_at).distinct().count())
+        return whole(left, right, radius_m, left_at, right_at, *a, **k)
+
+    monkeypatch.setattr(grid_join, "within", counted)
+    assert differences(spark, duck(folder), folder, name, catalogue.QUERIES[name], catalogue.ORACLES[name]) == []
+    assert entered and all(entered)

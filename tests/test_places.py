@@ -194,3 +194,38 @@ def test_pairs_meet_by_place(spark, request, monkeypatch, name, tables):
     monkeypatch.setattr(grid_join, "within", counted)
     assert differences(spark, duck(folder), folder, name, catalogue.QUERIES[name], catalogue.ORACLES[name]) == []
     assert entered and all(entered)
+
+
+@pytest.fixture(scope="module")
+def towns(tmp_path_factory):
+    """sf0.01 with customers on the suppliers' places, all customers twice over: ways of the SQL end, since the least site of every place is a customer of the first copy."""
+    import duckdb
+
+    folder, con = tmp_path_factory.mktemp("towns"), duckdb.connect()
+    con.execute(f"COPY (FROM '/root/testdata/sf0.01/supplier.parquet') TO '{folder}/supplier.parquet'")
+    customers = "(SELECT * FROM c UNION ALL SELECT * REPLACE (c_custkey + 20009 AS c_custkey) FROM c WHERE c_custkey < 100)"
+    con.execute(f"COPY (WITH c AS (FROM '/root/testdata/sf0.01/customer.parquet') SELECT t.* REPLACE (c_custkey + g * 840000 AS c_custkey) FROM {customers} t, range(2) x(g)) TO '{folder}/customer.parquet'")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["road_paths", "road_components"])
+def test_roads_over_towns(spark, towns, monkeypatch, name):
+    from meshspan.operators import graph
+
+    sizes = []
+    for f in ("reach", "components"):
+        whole = getattr(graph, f)
+        monkeypatch.setattr(graph, f, lambda e, *a, whole=whole: sizes.append(e.select("src").distinct().count()) or whole(e, *a))
+    assert differences(spark, duck(towns), towns, name, catalogue.QUERIES[name], catalogue.ORACLES[name]) == []
+    assert 0 < max(sizes) <= 1600
+
+
+def test_ways_end_where_many_sites_share_a_place(spark, crowds):
+    cost = {x.node: x.cost_m for x in catalogue.QUERIES["road_reach"](spark, crowds).collect()}
+    ways = {}
+    for x in catalogue.QUERIES["road_paths"](spark, crowds).collect():
+        ways.setdefault(x.target, {})[x.step] = x.node
+    assert set(ways) == set(cost)
+    for target, way in ways.items():
+        costs = [cost[way[i]] for i in range(len(way))]
+        assert way[0] == target and costs == sorted(costs, reverse=True) and costs[-1] == 0 and len(way) == len(set(way.values()))

@@ -229,3 +229,40 @@ def test_ways_end_where_many_sites_share_a_place(spark, crowds):
     for target, way in ways.items():
         costs = [cost[way[i]] for i in range(len(way))]
         assert way[0] == target and costs == sorted(costs, reverse=True) and costs[-1] == 0 and len(way) == len(set(way.values()))
+
+
+def test_routes_between_spots_are_those_of_their_sites(spark):
+    from meshspan.operators import solver
+
+    rnd = random.Random(5)
+    at = {i: (37 + rnd.random() * 0.5, -117 + rnd.random() * 0.6) for i in range(70)}
+    at[70], at[71] = (37.1, -117.0 + 1e-4), (37.1, -117.0 + 2e-4)  # two ways of nearly one length
+    names = {i: [f"s{i}_{j}" for j in range(1 + i % 3)] for i in at}
+    gap = lambda i, j: metres(at[i], at[j], 6_378_137.0)
+    heard = {(i, j): gap(i, j) for i in at for j in at if gap(i, j) <= 12_000 and (i * 7 + j * 7) % 5}
+    rows = [(i, *at[i], len(names[i]), names[i], [j for j in at if (i, j) in heard], [heard[i, j] for j in at if (i, j) in heard]) for i in at]
+    spots = spark.createDataFrame(rows, "spot long, lat double, lon double, n long, names array<string>, ys array<long>, ws array<double>")
+    sites = [(x, y, *at[j], w) for (i, j), w in heard.items() for x in names[i] for y in names[j] if x != y]
+    arcs = spark.createDataFrame(sites, "x_slug string, y_slug string, y_lat double, y_lon double, w double")
+    pairs = [(i, (i * 11 + 3) % 70) for i in range(70) if i != (i * 11 + 3) % 70]
+    want = spark.createDataFrame([(i, *at[i], j, *at[j]) for i, j in pairs], "a_spot long, a_lat double, a_lon double, b_spot long, b_lat double, b_lon double")
+    by_site = spark.createDataFrame([(names[i][-1], *at[i], names[j][0], *at[j]) for i, j in pairs], "a_slug string, a_lat double, a_lon double, b_slug string, b_lat double, b_lon double")
+    old = {(x.a_slug, x.b_slug): (x.hops, x.routes, x.best_m) for x in solver.fewest_hops(by_site, arcs, 12_000.0).collect() if x.hops}
+    new = {(names[x.a_spot][-1], names[x.b_spot][0]): (x.hops, x.routes, x.best_m) for x in solver.spot_routes(want, spots.drop("names"), 12_000.0).collect()}
+    assert new == old and len(new) > 40 and len({x[0] for x in new.values()}) > 3
+    old = {(x.a_slug, x.b_slug, x.rank): (">".join(x.path), x.d) for x in solver.list_paths(by_site, arcs, 12_000.0, k=6).collect()}
+    new = {}
+    for x in solver.spot_routes(want, spots, 12_000.0, 6).collect():
+        a, b = names[x.a_spot][-1], names[x.b_spot][0]
+        new |= {(a, b, i + 1): (">".join([a, p, b] if p else [a, b]), d) for i, (p, d) in enumerate(zip(x.paths, x.ds))}
+    assert new == old and max(k[2] for k in new) == 6
+
+
+def test_routes_over_a_crowded_mesh(spark, copies, monkeypatch):
+    from meshspan.operators import solver
+
+    searched = []
+    whole = solver.spot_routes
+    monkeypatch.setattr(solver, "spot_routes", lambda want, *a: searched.append(want.count()) or whole(want, *a))
+    assert differences(spark, duck(copies), copies, "solver_routes", catalogue.QUERIES["solver_routes"], catalogue.ORACLES["solver_routes"]) == []
+    assert 0 < searched[0] <= 1600

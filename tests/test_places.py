@@ -266,3 +266,16 @@ def test_routes_over_a_crowded_mesh(spark, copies, monkeypatch):
     monkeypatch.setattr(solver, "spot_routes", lambda want, *a: searched.append(want.count()) or whole(want, *a))
     assert differences(spark, duck(copies), copies, "solver_routes", catalogue.QUERIES["solver_routes"], catalogue.ORACLES["solver_routes"]) == []
     assert 0 < searched[0] <= 1600
+
+
+@pytest.mark.parametrize("name", ["land_point_hits", "land_smallest_hit", "land_eligible_points", "land_clip_to_aoi"])
+def test_boxes_meet_by_place(spark, copies, monkeypatch, name):
+    from meshspan.operators import rectilinear
+
+    entered, box = [], list(rectilinear.BOX)
+    boxes, overlaps = grid_join.boxes, rectilinear.overlaps
+    once = lambda df, at: df.count() == df.select(*at).distinct().count()
+    monkeypatch.setattr(grid_join, "boxes", lambda p, a, **k: entered.append(once(p, ["lat", "lon"]) and once(a, box)) or boxes(p, a, **k))
+    monkeypatch.setattr(rectilinear, "overlaps", lambda a, b, *o, **k: entered.append(once(a, box) and once(b, box)) or overlaps(a, b, *o, **k))
+    assert differences(spark, duck(copies), copies, name, catalogue.QUERIES[name], catalogue.ORACLES[name]) == []
+    assert entered and all(entered)

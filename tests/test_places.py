@@ -306,3 +306,24 @@ def test_routes_are_thinned_as_a_stream(spark):
         assert "FlatMapGroups" not in df._jdf.queryExecution().toString()
     finally:
         spark.conf.set(size, before)
+
+
+def test_relay_chains_by_tile_are_those_of_the_pairs(spark):
+    from meshspan.operators import finder
+    from meshspan.plans import planning
+
+    rnd = random.Random(8)
+    spots = [(37 + rnd.random() * 0.6, -117 + rnd.random() * 0.7) for _ in range(60)]
+    sites = spark.createDataFrame([(f"s{i}", *spots[i % 60]) for i in range(150)], "slug string, lat double, lon double")
+    rows = []
+    for route in range(200):
+        lat, lon, step = 37 + rnd.random() * 0.6, -117 + rnd.random() * 0.7, rnd.choice((0.01, 0.05, 0.12))
+        rows += [(route, o, lat + step * o, lon + step * o * rnd.random()) for o in range(1, rnd.randrange(2, 8))]
+    way = spark.createDataFrame(rows, "route long, ord long, lat double, lon double")
+    key = lambda df: sorted(map(tuple, df.select("route", "ord", "hop", "site", "solved").collect()), key=str)
+    want = key(finder.find_chains(planning._chain_facts(way, sites)))
+    found, wide = finder.chains_by_tile(way, sites, 8000.0, 12_000.0)
+    small, rest = key(found), key(finder.find_chains(planning._chain_facts(wide, sites)))
+    assert sorted(small + rest, key=str) == want and small and rest
+    assert any(x[2] > 1 for x in small) and any(not x[4] for x in small)
+    assert "hears" not in found._jdf.queryExecution().toString()

@@ -327,3 +327,25 @@ def test_relay_chains_by_tile_are_those_of_the_pairs(spark):
     assert sorted(small + rest, key=str) == want and small and rest
     assert any(x[2] > 1 for x in small) and any(not x[4] for x in small)
     assert "hears" not in found._jdf.queryExecution().toString()
+
+
+def test_viewsheds_are_evaluated_once_a_spot(spark, crowds, monkeypatch):
+    from meshspan.operators import viewshed
+    from meshspan.plans import planning
+    from meshspan.sources.derived import relation, tile_blocks
+
+    evaluated = []
+    whole = viewshed.coverage
+    monkeypatch.setattr(viewshed, "coverage", lambda s, *a: evaluated.append(s.count()) or whole(s, *a))
+    s = relation(spark, crowds, "sites")
+    spots = s.select("lat", "lon", "height_m").distinct().count()
+    cells = {(x.slug, x.x, x.y): x.pr_dbm for x in catalogue.QUERIES["viewshed_cells"](spark, crowds).collect()}
+    assert evaluated == [spots] and spots * 2 < s.count()
+    cov = whole(s, tile_blocks(spark), planning.LINK | {"rx_height": 2.0}, planning.RADIUS, planning.WIDTH).cache()
+    assert cells == {(x.slug, x.x, x.y): x.pr for x in cov.select("slug", "x", "y", planning.r(F.col("pr_dbm"), 2).alias("pr")).collect()} and cells
+    masks = viewshed.ground_masks(cov, s, planning.RADIUS, planning.WIDTH, 500.0)
+    assert [tuple(x) for x in catalogue.QUERIES["coverage_additions"](spark, crowds).collect()] == [tuple(x) for x in viewshed.best_additions(masks, 12).collect()]
+    chains = s.select((F.col("k") % 3).alias("chain"), "slug")
+    want = {x.chain: x.cells for x in viewshed.union_cells(masks, chains).collect()}, {x.chain: x.cells for x in viewshed.union_gain(viewshed.raster_masks(cov, planning.WIDTH), chains).collect()}
+    got = catalogue.QUERIES["viewshed_union"](spark, crowds).collect()
+    assert ({x.chain: x.ground_cells for x in got}, {x.chain: x.cells for x in got}) == want

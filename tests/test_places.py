@@ -349,3 +349,22 @@ def test_viewsheds_are_evaluated_once_a_spot(spark, crowds, monkeypatch):
     want = {x.chain: x.cells for x in viewshed.union_cells(masks, chains).collect()}, {x.chain: x.cells for x in viewshed.union_gain(viewshed.raster_masks(cov, planning.WIDTH), chains).collect()}
     got = catalogue.QUERIES["viewshed_union"](spark, crowds).collect()
     assert ({x.chain: x.ground_cells for x in got}, {x.chain: x.cells for x in got}) == want
+
+
+def test_only_the_first_row_of_a_place_is_compared(spark, monkeypatch):
+    from meshspan.operators import greedy
+
+    compared = []
+    whole = greedy._close_pairs
+    monkeypatch.setattr(greedy, "_close_pairs", lambda df, *a: compared.append(df.count()) or whole(df, *a))
+    rnd = random.Random(6)
+    at = [(37 + rnd.random() * 0.2, -117 + rnd.random() * 0.2) for _ in range(50)]
+    rows = [(f"p{i}", *at[i % 50], float(rnd.randrange(9))) for i in range(400)]
+    kept_ = []
+    for x in sorted(rows, key=lambda x: (-x[3], x[0])):
+        if all(metres(x[1:3], y[1:3]) >= 4000 for y in kept_):
+            kept_.append(x)
+    lost = [("n1", None, -117.0, 1.0), ("n2", None, -117.0, 2.0)]
+    df = spark.createDataFrame(rows + lost, "slug string, lat double, lon double, z double")
+    got = greedy.spread_everywhere(df, "slug", [-F.col("z"), F.col("slug")], 4000.0).collect()
+    assert {x.slug for x in got} == {x[0] for x in kept_} | {"n1", "n2"} and compared == [50]
